@@ -115,20 +115,30 @@ TIMELINE_PATTERN = r"Next \d+ Sprint[s]?|Within \d+ week[s]?|\d+ sprint[s]?"
 
 @dataclass(frozen=True)
 class PiiRule:
-    """One redaction step: text matching ``pattern`` becomes ``tag``."""
+    """One redaction step: text matching ``pattern`` becomes ``tag``.
+
+    ``needs`` lists expressions of which a text must match at least one for the rule to have any
+    effect; cheap tests that spare most texts the rule. Empty means the rule always runs.
+    ``starts`` is a class that holds every first character of a match; it is looked for ahead of
+    the pattern where the pattern itself would test each position for a word boundary.
+    """
 
     name: str
     pattern: str
     tag: str
+    needs: tuple[str, ...] = ()
+    starts: str = ""
+
 
+FOUR_DIGITS = (r"\d{4}",)
 
 PII_RULES = (
-    PiiRule("email", EMAIL_PATTERN, EMAIL_TAG),
-    PiiRule("phone", PHONE_PATTERN, PHONE_TAG),
-    PiiRule("pan", PAN_PATTERN, ID_TAG),
-    PiiRule("aadhaar", AADHAAR_PATTERN, ID_TAG),
-    PiiRule("account", ACCOUNT_PATTERN, ID_TAG),
-    PiiRule("username", USERNAME_PATTERN, USER_TAG),
+    PiiRule("email", EMAIL_PATTERN, EMAIL_TAG, ("@",)),
+    PiiRule("phone", PHONE_PATTERN, PHONE_TAG, FOUR_DIGITS, r"[+\d]"),
+    PiiRule("pan", PAN_PATTERN, ID_TAG, FOUR_DIGITS),
+    PiiRule("aadhaar", AADHAAR_PATTERN, ID_TAG, FOUR_DIGITS),
+    PiiRule("account", ACCOUNT_PATTERN, ID_TAG, FOUR_DIGITS),
+    PiiRule("username", USERNAME_PATTERN, USER_TAG, ("@", r"[0-9]{3}")),
 )
 
 

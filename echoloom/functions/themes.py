@@ -18,6 +18,8 @@ def _hit(lowered: Column, keyword: str, word_boundary: bool) -> Column:
 def _first_hit(lowered: Column, keywords: list[str], word_boundary: bool) -> Column:
     branch = None
     for position, keyword in enumerate(keywords):
+        if not word_boundary and any(earlier in keyword for earlier in keywords[:position]):
+            continue  # an earlier keyword hits wherever this one does
         test = _hit(lowered, keyword, word_boundary)
         branch = F.when(test, F.lit(position)) if branch is None else branch.when(test, F.lit(position))
     return branch
@@ -54,12 +56,7 @@ def matched_keywords(c: Column, keywords: list[str], word_boundary: bool = False
     return F.array_remove(F.array(*tests), -1)
 
 
-def first_keyword_per_theme(c: Column, taxonomy: Taxonomy = config.TAXONOMY) -> Column:
-    """Array with one entry per theme: ``struct(theme, keyword)`` of its first hit, or null."""
+def first_keyword_positions(c: Column, taxonomy: Taxonomy = config.TAXONOMY) -> Column:
+    """Array with one entry per theme: position of its first keyword that hits, or null."""
     lowered = F.lower(c)
-    found = []
-    for theme, words in taxonomy.themes:
-        position = _first_hit(lowered, list(words), False)
-        keyword = F.get(F.array(*[F.lit(w) for w in words]), position)
-        found.append(F.when(keyword.isNotNull(), F.struct(F.lit(theme).alias("theme"), keyword.alias("keyword"))))
-    return F.array(*found)
+    return F.array(*[_first_hit(lowered, list(words), False) for _, words in taxonomy.themes])

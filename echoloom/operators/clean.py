@@ -101,10 +101,20 @@ def with_clean_text(
     keeps such projections apart instead of repeating the expensive expression.
     """
     others = [c for c in df.columns if c not in ("text", "clean_text", "n_words")]
-    redacted = df.select(*others, text.redact_pii("text", rules).alias("text"))
-    folded = redacted.select(*others, "text", text.fold_case("text").alias("_folded"))
-    cleaned = folded.select(*others, "text", text.finish_clean("_folded", typos).alias("clean_text"))
-    return cleaned.select(*others, "text", "clean_text", text.clean_word_count("clean_text").alias("n_words"))
+    kept = [*others, "text"]
+    redacted = redact_column(df.select(*kept), "text", rules)
+    filled = redacted.select(*kept, F.coalesce("text", F.lit("")).alias("_filled"))
+    plain = filled.select(*kept, text.drop_special("_filled").alias("_plain"))
+    folded = plain.select(*kept, text.fold_case("_plain").alias("_folded"))
+    cleaned = folded.select(*kept, text.finish_clean("_folded", typos).alias("clean_text"))
+    return cleaned.select(*kept, "clean_text", text.clean_word_count("clean_text").alias("n_words"))
+
+
+def redact_column(df: DataFrame, column: str, rules: Sequence[PiiRule] = config.PII_RULES) -> DataFrame:
+    """Redact one column, a projection per step, so that each step's cheap test spares its rules."""
+    for step in text.redaction_steps(rules):
+        df = df.withColumn(column, step(column))
+    return df
 
 
 def _prefilter_words(df: DataFrame, rules: Sequence[PiiRule], typos: Mapping[str, str], n: int) -> DataFrame:
@@ -123,19 +133,32 @@ def dedup_earliest(
     df: DataFrame,
     key: str = "clean_text",
     order: Sequence[str] = ("date", "source_review_id"),
+    wide: Sequence[str] = ("text",),
+    total: str | None = None,
 ) -> DataFrame:
     """One row per key, the earliest; ``copies`` counts the rows it stands for.
 
-    Groups by the hash next to the text itself: the result is exact, and sorting inside the
-    aggregate compares eight bytes. Map-side partial aggregation reduces every key to one row per
-    task before the shuffle, so a text that makes up a third of the table is no hot spot.
+    Rows that were deduplicated before carry their count in the column ``total``.
+
+    Groups by a SHA-256 digest instead of the text. Map-side partial aggregation reduces every key
+    to one row per task before the shuffle, so a text that makes up a third of the table is no
+    hot spot. The long columns are aggregates of their own: a job that does not read them does
+    not shuffle them. Should rows agree in ``order``, their other short columns decide, and the
+    long ones follow that choice, so a result row is never mixed from two rows.
     """
-    order = list(order)
-    rest = [c for c in df.columns if c not in (key, *order)]
+    order, wide = list(order), [c for c in wide if c in df.columns]
+    narrow = [c for c in df.columns if c not in (key, total, *order, *wide)]
+    copies = F.sum(total) if total else F.count(F.lit(1))
+    rank = F.struct(*order, *narrow)
     return (
-        df.groupBy(F.xxhash64(key).alias("_hash"), key)
-        .agg(F.min(F.struct(*order, *rest)).alias("_first"), F.count(F.lit(1)).alias("copies"))
-        .select(*[F.col(f"_first.{c}").alias(c) for c in order + rest], key, "copies")
+        df.groupBy(F.unhex(F.sha2(key, 256)).alias("_digest"))
+        .agg(
+            F.min(rank).alias("_first"),
+            *[F.min_by(c, rank).alias(c) for c in wide],
+            F.min(key).alias(key),
+            copies.alias("copies"),
+        )
+        .select(*[F.col(f"_first.{c}").alias(c) for c in order + narrow], *wide, key, "copies")
     )
 
 

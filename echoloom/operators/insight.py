@@ -157,10 +157,12 @@ def first_distinct(
 ) -> DataFrame:
     """The first ``n`` distinct values per theme, ordered by first occurrence, with their rank.
 
-    Values collapse to their earliest place first; the rank filter then becomes a group limit that
-    every task applies before the shuffle, so a theme never arrives whole anywhere.
+    Values collapse to their earliest place first; chunk and place in one long keep that a hash
+    aggregate. The rank filter then becomes a group limit that every task applies before the
+    shuffle, so a theme never arrives whole anywhere.
     """
-    earliest = rows.groupBy(*period, "theme", value).agg(F.min(F.struct(*PLACE)).alias("_place"))
+    place = F.shiftleft("chunk_id", 20) + F.col("pos")
+    earliest = rows.groupBy(*period, "theme", value).agg(F.min(place).alias("_place"))
     order = Window.partitionBy(*period, "theme").orderBy("_place")
     ranked = earliest.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
     return ranked.select(*period, "theme", "rank", value)

@@ -89,13 +89,18 @@ def with_share(counts: DataFrame, n: str = "n", period: Sequence[str] = ()) -> D
 
 
 def _zero_filled(df: DataFrame, column: str, values: Sequence, n: str) -> DataFrame:
-    """Counts of a column over a fixed list of values, 0 where a value does not occur."""
-    spark = df.sparkSession
-    dimension = spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(column))
-    counts = df.filter(F.col(column).isin(list(values))).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    return dimension.join(counts, column, "left").select(
-        column, F.coalesce("_n", F.lit(0)).cast("long").alias(n)
+    """Counts of a column over a fixed list of values, 0 where a value does not occur.
+
+    The list is stacked under the counts rather than joined: a join or a filter on the column would
+    be pushed below the aggregate, where it evaluates the column a second time.
+    """
+    listed = df.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(v) for v in values])).alias(column), F.lit(0).cast("long").alias(n),
+        F.lit(True).alias("_listed"),
     )
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias(n)).withColumn("_listed", F.lit(False))
+    merged = listed.unionByName(counts).groupBy(column).agg(F.sum(n).alias(n), F.bool_or("_listed").alias("_listed"))
+    return merged.filter("_listed").drop("_listed")
 
 
 def rating_distribution(clean: DataFrame) -> DataFrame:
@@ -192,15 +197,20 @@ def fallback_by_theme(classified: DataFrame) -> DataFrame:
 
 def keyword_hits(clean: DataFrame, taxonomy: Taxonomy = config.TAXONOMY) -> DataFrame:
     """Per theme and keyword: reviews in which it is the theme's first hit, and in which it decides."""
-    best = themes.best_keyword(F.col("clean_text"), taxonomy)
-    pairs = F.array(*[F.struct(F.lit(t).alias("theme"), F.lit(w).alias("keyword")) for t, w in taxonomy.pairs])
-    hits = clean.select(
-        F.explode(themes.first_keyword_per_theme(F.col("clean_text"), taxonomy)).alias("hit"),
-        F.get(pairs, best).alias("decisive"),
-    ).filter(F.col("hit").isNotNull())
-    return hits.groupBy(F.col("hit.theme").alias("theme"), F.col("hit.keyword").alias("keyword")).agg(
-        F.count(F.lit(1)).alias("n_reviews"),
-        F.count_if(F.col("hit") == F.col("decisive")).alias("n_deciding"),
+    names = F.array(*[F.lit(theme) for theme in taxonomy.names])
+    words = F.array(*[F.array(*[F.lit(w) for w in listed]) for _, listed in taxonomy.themes])
+    found = clean.select(themes.first_keyword_positions(F.col("clean_text"), taxonomy).alias("_positions"))
+    first = None
+    for i in range(len(taxonomy.themes)):
+        hit = F.col("_positions")[i].isNotNull()
+        first = F.when(hit, i) if first is None else first.when(hit, i)
+    hits = found.select(first.alias("_first"), F.posexplode("_positions").alias("_theme", "_word"))
+    counts = hits.filter(F.col("_word").isNotNull()).groupBy("_theme", "_word").agg(
+        F.count(F.lit(1)).alias("n_reviews"), F.count_if(F.col("_theme") == F.col("_first")).alias("n_deciding")
+    )
+    return counts.select(
+        names[F.col("_theme")].alias("theme"), words[F.col("_theme")][F.col("_word")].alias("keyword"),
+        "n_reviews", "n_deciding",
     )
 
 

@@ -16,13 +16,10 @@ RECORDS_PER_DOCUMENT = 1000
 def write_clean(clean: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The clean layer, one folder per week, so a window of weeks reads only its folders.
 
-    Rows are first brought together by week and a slice of the identifier: a week becomes a few
-    files, written by several tasks, however large it is.
+    Rows are first brought together by week; the rebalance hint lets adaptive execution split a
+    large week over many tasks and join small ones, so files come out at the advisory size.
     """
-    parts = clean.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    clean.repartition(int(parts), "week_start_date", F.substring("review_id", 1, 1)).write.mode(mode).partitionBy(
-        "week_start_date"
-    ).parquet(path)
+    clean.hint("rebalance", "week_start_date").write.mode(mode).partitionBy("week_start_date").parquet(path)
 
 
 def write_clean_json(clean: DataFrame, path: str, mode: str = "overwrite") -> None:

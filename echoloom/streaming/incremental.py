@@ -69,14 +69,9 @@ def read_deduplicated(spark: SparkSession, path: str, schema: T.StructType) -> D
     Each batch holds one row per text, so this is the exact rule at the price of one aggregate, and
     no run rewrites what earlier runs stored. ``copies`` adds up.
     """
-    batches = spark.read.schema(schema).parquet(path)
-    rest = [c for c in schema.fieldNames() if c not in ("clean_text", "copies", BATCH)]
-    ordered = ["date", "source_review_id", *[c for c in rest if c not in ("date", "source_review_id")]]
-    return (
-        batches.groupBy(F.xxhash64("clean_text").alias("_hash"), "clean_text")
-        .agg(F.min(F.struct(*ordered)).alias("_first"), F.sum("copies").alias("copies"))
-        .select(*[F.col(f"_first.{c}").alias(c) for c in ordered], "clean_text", "copies")
-    )
+    batches = spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+    earliest = clean.dedup_earliest(batches.withColumnRenamed("copies", "_copies"), total="_copies")
+    return earliest.select(*schema.fieldNames())
 
 
 def drop_repeats(events: DataFrame, keys: Sequence[str], event_time: str = "ts", lateness: str = LATENESS) -> DataFrame:

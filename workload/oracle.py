@@ -431,6 +431,17 @@ PROMPT_ITEMS = (
     "list({'review_id': review_id, 'text': substr(clean_text, 1, 500)} ORDER BY p)"
 )
 
+PROMPTS = (
+    "SELECT p // 10 AS batch_id, count(*) AS n_reviews, "
+    "'Give each review a theme, a sentiment and a confidence. Answer with a JSON array.' || chr(10) || chr(10) "
+    f"|| CAST(to_json({PROMPT_ITEMS}) AS VARCHAR) AS prompt FROM "
+    "(SELECT *, row_number() OVER (ORDER BY date, review_id) - 1 AS p FROM clean) GROUP BY 1"
+)
+CHUNK_TEXTS = (
+    "SELECT theme, chunk_id, count(*) AS n_reviews, "
+    "string_agg('- ' || substr(clean_text, 1, 200), chr(10) ORDER BY ord) AS reviews_list FROM chunked GROUP BY 1, 2"
+)
+
 STATEMENTS = {
     # sources and sinks
     "scan_reviews": 'SELECT * FROM reviews_raw ORDER BY "at" DESC, source_review_id LIMIT 4000',
@@ -537,10 +548,13 @@ STATEMENTS = {
                          "kw_reason AS reason FROM keyworded",
     "batch_reviews": "SELECT review_id, p // 10 AS batch_id, p % 10 AS ord FROM "
                      "(SELECT review_id, row_number() OVER (ORDER BY date, review_id) - 1 AS p FROM clean)",
-    "build_prompt": "SELECT p // 10 AS batch_id, count(*) AS n_reviews, "
-                    "'Give each review a theme, a sentiment and a confidence. Answer with a JSON array.' || chr(10) || chr(10) "
-                    f"|| CAST(to_json({PROMPT_ITEMS}) AS VARCHAR) AS prompt FROM "
-                    "(SELECT *, row_number() OVER (ORDER BY date, review_id) - 1 AS p FROM clean) GROUP BY 1",
+    "build_prompt": PROMPTS,
+    # the stub model fails on prompts whose length divides by five
+    "score_batches": f"SELECT batch_id, n_reviews, length(prompt) % 5 <> 0 AS answered FROM ({PROMPTS})",
+    "score_retry": f"""
+        SELECT NOT (answered AND least(length(clean_text), 500) % 10 >= 4) AS fallback_applied, count(*) AS n
+        FROM (SELECT clean_text, (row_number() OVER (ORDER BY date, review_id) - 1) // 10 AS batch_id FROM clean)
+        JOIN (SELECT batch_id, length(prompt) % 5 <> 0 AS answered FROM ({PROMPTS})) USING (batch_id) GROUP BY 1""",
     "parse_response": "SELECT CAST(doc_id AS VARCHAR) AS review_id, lang AS review_theme, source AS sentiment, "
                       "CAST(doc_id % 10 AS DOUBLE) / 10 AS confidence, text AS reason FROM documents WHERE doc_id % 4 < 2",
     "validate_predictions": "SELECT review_id, review_theme, sentiment, confidence, llm_suggested_theme, fallback_applied "
@@ -550,9 +564,12 @@ STATEMENTS = {
     "classify_reviews": f"SELECT {TWELVE} FROM classified",
     # insight
     "chunk_reviews": "SELECT theme, chunk_id, ord, review_id FROM chunked",
-    "chunk_text": "SELECT theme, chunk_id, count(*) AS n_reviews, "
-                  "string_agg('- ' || substr(clean_text, 1, 200), chr(10) ORDER BY ord) AS reviews_list "
-                  "FROM chunked GROUP BY 1, 2",
+    "chunk_text": CHUNK_TEXTS,
+    # the stub model fails on prompts whose length divides by four
+    "parse_object_response": f"""
+        SELECT theme, chunk_id, len(string_split(reviews_list, chr(10))) || ' lines' AS key_points,
+               substr(string_split(reviews_list, chr(10))[1], 3) AS quotes
+        FROM ({CHUNK_TEXTS}) WHERE length(reviews_list) % 4 <> 0""",
     "map_summarize": "SELECT theme, chunk_id, coalesce((SELECT string_agg(key_point, '|' ORDER BY pos) FROM points p "
                      "WHERE p.theme = c.theme AND p.chunk_id = c.chunk_id), '') AS key_points, "
                      "(SELECT string_agg(quote, '|' ORDER BY pos) FROM quotes q "
