@@ -9,7 +9,10 @@ from echoloom import schemas
 from echoloom.operators.clean import CLEAN_COLUMNS
 from echoloom.operators.insight import with_run_key
 
-CSV_OPTIONS = {"header": True, "quoteAll": True, "quote": '"', "escape": '"', "emptyValue": ""}
+CSV_OPTIONS = {
+    "header": True, "quoteAll": True, "quote": '"', "escape": '"', "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 RECORDS_PER_DOCUMENT = 1000
 
 
