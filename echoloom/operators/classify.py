@@ -20,12 +20,12 @@ def classify_keywords(
     df: DataFrame, column: str = "clean_text", taxonomy: Taxonomy = config.TAXONOMY, word_boundary: bool = False
 ) -> DataFrame:
     """Add theme, confidence and reason from keywords alone."""
-    hit = df.withColumn("_hit", themes.best_keyword(F.col(column), taxonomy, word_boundary))
+    hit = themes.with_lowered(df, column).withColumn("_hit", themes.best_keyword(taxonomy, word_boundary))
     return hit.withColumns({
         "review_theme": themes.theme_at(F.col("_hit"), taxonomy),
         "confidence": F.lit(config.FALLBACK_CONFIDENCE),
         "reason": themes.reason_at(F.col("_hit"), taxonomy),
-    }).drop("_hit")
+    }).drop("_hit", themes.LOWERED)
 
 
 def one_prediction_per_key(predictions: DataFrame, key: str) -> DataFrame:
@@ -71,9 +71,8 @@ def validate_predictions(
     others = [c for c in merged.columns if not c.startswith("model_")]
     model = [c for c in merged.columns if c.startswith("model_")]
     judged = merged.select(*others, *model, needs_fallback(taxonomy).alias("fallback_applied"))
-    looked_up = judged.withColumn(
-        "_hit",
-        F.when(F.col("fallback_applied"), themes.best_keyword(F.col(column), taxonomy, word_boundary)),
+    looked_up = themes.with_lowered(judged, column).withColumn(
+        "_hit", F.when(F.col("fallback_applied"), themes.best_keyword(taxonomy, word_boundary))
     )
     fallback = F.col("fallback_applied")
     confidence = F.coalesce("model_confidence", F.lit(0.0))

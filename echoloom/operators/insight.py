@@ -80,16 +80,6 @@ def summarize_chunks(
     return scoring.parse_chunk_answers(scored).drop("reviews_list", "n_reviews")
 
 
-def _theme_keyword_positions(taxonomy: Taxonomy) -> Column:
-    """Positions, in their theme's own list, of the keywords a review holds."""
-    branches = None
-    for theme, words in taxonomy.themes:
-        found = themes.matched_keywords(F.col("clean_text"), list(words))
-        test = F.col("theme") == theme
-        branches = F.when(test, found) if branches is None else branches.when(test, found)
-    return branches.otherwise(F.array().cast("array<int>"))
-
-
 def summarize_chunks_builtin(
     chunked: DataFrame, period: Sequence[str] = (), taxonomy: Taxonomy = config.TAXONOMY
 ) -> DataFrame:
@@ -101,7 +91,8 @@ def summarize_chunks_builtin(
     quote = F.struct(
         (-F.coalesce("relevance", F.lit(0))).alias("rank"), F.col("review_id"), F.col("clean_text").alias("quote")
     )
-    gathered = chunked.withColumn("_words", _theme_keyword_positions(taxonomy)).groupBy(
+    lowered = themes.with_lowered(chunked, "clean_text")
+    gathered = lowered.withColumn("_words", themes.own_theme_keywords("theme", taxonomy)).groupBy(
         *period, "theme", "chunk_id"
     ).agg(
         F.flatten(F.collect_list("_words")).alias("_words"),
@@ -111,10 +102,9 @@ def summarize_chunks_builtin(
         F.array_distinct("_words"),
         lambda w: F.struct((-F.size(F.filter("_words", lambda x: x == w))).alias("n"), w.alias("word")),
     ))
-    names = F.create_map(*[
-        part for theme, words in taxonomy.themes
-        for part in (F.lit(theme), F.array(*[F.lit(w) for w in words]))
-    ])
+    names = F.expr("map({})".format(", ".join(
+        f"{themes.literal(theme)}, {themes.text_array(words)}" for theme, words in taxonomy.themes
+    )))
     return gathered.select(
         *period, "theme", "chunk_id",
         F.element_at(names, F.col("theme")).alias("_names"),

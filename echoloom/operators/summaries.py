@@ -197,9 +197,9 @@ def fallback_by_theme(classified: DataFrame) -> DataFrame:
 
 def keyword_hits(clean: DataFrame, taxonomy: Taxonomy = config.TAXONOMY) -> DataFrame:
     """Per theme and keyword: reviews in which it is the theme's first hit, and in which it decides."""
-    names = F.array(*[F.lit(theme) for theme in taxonomy.names])
-    words = F.array(*[F.array(*[F.lit(w) for w in listed]) for _, listed in taxonomy.themes])
-    found = clean.select(themes.first_keyword_positions(F.col("clean_text"), taxonomy).alias("_positions"))
+    names = F.expr(themes.text_array(taxonomy.names))
+    words = F.expr(f"array({', '.join(themes.text_array(listed) for _, listed in taxonomy.themes)})")
+    found = themes.with_lowered(clean, "clean_text").select(themes.first_keyword_positions(taxonomy).alias("_positions"))
     first = None
     for i in range(len(taxonomy.themes)):
         hit = F.col("_positions")[i].isNotNull()
@@ -225,9 +225,10 @@ def taxonomy_table(clean: DataFrame, taxonomy: Taxonomy = config.TAXONOMY) -> Da
         for place, word in enumerate(words, start=1)
     ]
     vocabulary = sorted({word for _, word in taxonomy.pairs})
-    found = clean.select(F.explode(themes.matched_keywords(F.col("clean_text"), vocabulary)).alias("_i"))
+    lowered = themes.with_lowered(clean, "clean_text")
+    found = lowered.select(F.explode(themes.matched_keywords(vocabulary)).alias("_i"))
     counts = found.groupBy("_i").agg(F.count(F.lit(1)).alias("_n")).select(
-        F.get(F.array(*[F.lit(w) for w in vocabulary]), F.col("_i")).alias("keyword"), "_n"
+        F.get(F.expr(themes.text_array(vocabulary)), F.col("_i")).alias("keyword"), "_n"
     )
     dimension = clean.sparkSession.range(1).select(F.inline(F.array(*entries)))
     return dimension.join(counts, "keyword", "left").select(
