@@ -204,7 +204,10 @@ def keyword_hits(clean: DataFrame, taxonomy: Taxonomy = config.TAXONOMY) -> Data
     for i in range(len(taxonomy.themes)):
         hit = F.col("_positions")[i].isNotNull()
         first = F.when(hit, i) if first is None else first.when(hit, i)
-    hits = found.select(first.alias("_first"), F.posexplode("_positions").alias("_theme", "_word"))
+    # The slice is the whole array. Exploding the bare column would make the optimizer filter on its size
+    # below, where all keywords would be searched a second time.
+    every = F.slice("_positions", 1, len(taxonomy.themes))
+    hits = found.select(first.alias("_first"), F.posexplode(every).alias("_theme", "_word"))
     counts = hits.filter(F.col("_word").isNotNull()).groupBy("_theme", "_word").agg(
         F.count(F.lit(1)).alias("n_reviews"), F.count_if(F.col("_theme") == F.col("_first")).alias("n_deciding")
     )
