@@ -6,9 +6,10 @@ import pytest
 from compare_tables import connect, differences
 
 import __spark_entry__ as registry
+from workload.oracle import oracle_sql
+from workload.queries import QUERIES
 
-QUERIES = registry.queries()
-TWINS = registry.oracle_sql()
+TWINS = oracle_sql()
 
 
 @pytest.fixture(scope="module")
