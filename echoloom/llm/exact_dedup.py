@@ -87,10 +87,10 @@ def exact_dedup(docs: DataFrame, bucket_keys: int = 100_000, key=F.xxhash64) ->
     )
     index = build_index(rows.select("doc_id", "key"), bucket_keys)
     several = index.filter("n_rows > 1").select("key", "head")
-    # Only rows whose key is shared take part in the comparison of bytes; all other texts end here.
-    open_rows = written(
-        body.select("doc_id", "body", key(F.col("body")).alias("key")).join(several.select("key"), "key", "left_semi"), "dedup-shared"
-    )
+    # Only rows whose key is shared take part in the comparison of bytes; all other texts end here. The shared keys grow with
+    # the table, so they are never broadcast; on large tables Spark adds its own Bloom filter to this join.
+    shared = several.select("key").hint("merge")
+    open_rows = written(body.select("doc_id", "body", key(F.col("body")).alias("key")).join(shared, "key", "left_semi"), "dedup-shared")
     chain, members = 0, None
     while True:
         heads = written(
