@@ -5,15 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoloom.llm import decontaminate, exact_dedup
-from echoloom.llm.common import table
+from echoloom.llm import decontaminate, exact_dedup, language, near_dedup, secrets, toxicity
+from echoloom.llm.common import is_held_out, is_training, table
 from workload.shipping import ship_packages
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_packages(spark)
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select(
+        "doc.doc_id", *[secrets.count_of(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(secrets.as_text(kinds=secrets.BASE_KINDS), 256).alias("base_sha256"), secrets.as_text().alias("spans"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_packages(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(is_training()))
+    found = language.predict(docs, model, carry=["doc_id"]).select("doc.doc_id", "lang_pred", "score")
+    return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_packages(spark)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_packages(spark)
     found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
@@ -24,4 +46,15 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op9_decontaminate)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_packages(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(is_training()))
+    found = toxicity.score(docs, model, carry=["doc_id"]).select("doc.doc_id", "score")
+    return found.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secrets, op3_exact_dedup, op7_language, op8_near_dedup, op9_decontaminate, op10_toxicity)
+}
