@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from echoloom.llm import licenses
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,4 +44,47 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLE = {"op3_exact_dedup": EXACT_DEDUP, "op9_decontaminate": DECONTAMINATE}
+
+
+def _licenses() -> str:
+    values = ",\n".join(
+        f"({rule}, '{keyword}', '{label}', {str(base).lower()}, {priority}, {weight}, '{pattern}')"
+        for rule, keyword, label, base, priority, weight, pattern in licenses.rules()
+    )
+    blanks = "(length({0}) - length(replace({0}, ' ', ''))) // 2"
+    return f"""
+WITH rules(rule, keyword, label, is_base, priority, weight, pattern) AS (VALUES {values}),
+docs AS (SELECT row_number() OVER () AS nr, doc_id, {_words('text')} AS w FROM documents),
+bodies AS (SELECT nr, doc_id, CAST(len(w) AS BIGINT) AS n_words, ' ' || array_to_string(w, '  ') || ' ' AS body FROM docs),
+tried AS (
+  SELECT nr, rule, label, is_base, priority, CAST(weight AS DOUBLE) AS weight, regexp_extract_all(body, pattern) AS hits, string_split_regex(body, pattern) AS gaps
+  FROM bodies JOIN rules ON contains(body, ' ' || keyword || ' ')
+),
+found AS (
+  SELECT nr, rule, label, is_base, priority, weight, i, {blanks.format('hits[i]')} AS length, {blanks.format('gaps[i]')} AS gap
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM tried)
+),
+placed AS (
+  SELECT nr, rule, label, is_base, priority, weight, length,
+         CAST(sum(gap + length) OVER (PARTITION BY nr, rule ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
+  FROM found
+),
+judged AS (
+  SELECT *, stop - length AS start,
+         coalesce(max(stop) OVER (PARTITION BY nr ORDER BY stop - length, stop DESC, priority, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= stop, false) AS inside
+  FROM placed
+),
+summed AS (
+  SELECT nr, count(*) FILTER (is_base) AS n_base, min(start) FILTER (is_base) AS first_word, max(start) FILTER (is_base) AS last_word,
+         coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (is_base))), ','), '') AS base_labels,
+         coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (is_base OR NOT inside))), ','), '') AS labels,
+         max(weight) FILTER (is_base OR NOT inside) AS score
+  FROM judged GROUP BY nr
+)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM bodies LEFT JOIN summed USING (nr)
+"""
+
+
+ORACLE = {"op3_exact_dedup": EXACT_DEDUP, "op5_licenses": _licenses(), "op9_decontaminate": DECONTAMINATE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoloom.llm import decontaminate, exact_dedup, language, near_dedup, secrets, toxicity
+from echoloom.llm import decontaminate, exact_dedup, language, licenses, near_dedup, secrets, toxicity
 from echoloom.llm.common import is_held_out, is_training, table
 from workload.shipping import ship_packages
 
@@ -23,6 +23,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summarized(*licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_packages(spark)
     docs = table(spark, sf_dir, "documents")
@@ -56,5 +60,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op3_exact_dedup, op7_language, op8_near_dedup, op9_decontaminate, op10_toxicity)
+    for f in (op1_secrets, op3_exact_dedup, op5_licenses, op7_language, op8_near_dedup, op9_decontaminate, op10_toxicity)
 }
