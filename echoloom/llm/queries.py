@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoloom.llm import decontaminate, exact_dedup, language, licenses, near_dedup, secrets, toxicity
-from echoloom.llm.common import is_held_out, is_training, table
+from echoloom.llm import chat, decontaminate, exact_dedup, language, licenses, near_dedup, secrets, token_output, toxicity
+from echoloom.llm.common import is_held_out, is_training, table, written
 from workload.shipping import ship_packages
 
 
@@ -23,10 +24,31 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    ship_packages(spark)
+    path = token_output.write_shards(table(spark, sf_dir, "documents"), model_path or public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.read_documents(spark.read.schema(token_output.SHARD).parquet(path))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summarized(*licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+#: A conversation whose texts are made of control strings.
+CONTROL_CASE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_packages(spark)
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("int"), "role", "text")
+    case = spark.createDataFrame(CONTROL_CASE, "conv_id long, turn int, role string, text string")
+    nodes = written(chat.linear_trees(rows.unionByName(case)), "chat-nodes")
+    output = written(chat.formatted_turns(nodes), "chat-output")
+    found = chat.digests(chat.parsed_turns(output))
+    conv_id = F.when(F.col("tree") != "null", F.col("tree").cast("long")).alias("conv_id")
+    return found.select(conv_id, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_packages(spark)
     docs = table(spark, sf_dir, "documents")
@@ -60,5 +82,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op3_exact_dedup, op5_licenses, op7_language, op8_near_dedup, op9_decontaminate, op10_toxicity)
+    for f in (op1_secrets, op3_exact_dedup, op4_token_output, op5_licenses, op6_chat, op7_language, op8_near_dedup, op9_decontaminate, op10_toxicity)
 }
