@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoloom.llm import chat, decontaminate, exact_dedup, language, licenses, near_dedup, secrets, token_output, toxicity
+from echoloom.llm import chat, decontaminate, exact_dedup, language, licenses, near_dedup, secrets, sentence_pieces, token_output, toxicity
 from echoloom.llm.common import is_held_out, is_training, table, written
 from workload.shipping import ship_packages
 
@@ -20,6 +20,13 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    ship_packages(spark)
+    made = sentence_pieces.encode(table(spark, sf_dir, "documents"), model_path or public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id"])
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return made.select("doc.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -82,5 +89,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op3_exact_dedup, op4_token_output, op5_licenses, op6_chat, op7_language, op8_near_dedup, op9_decontaminate, op10_toxicity)
+    for f in (op1_secrets, op2_sentence_pieces, op3_exact_dedup, op4_token_output, op5_licenses, op6_chat, op7_language, op8_near_dedup, op9_decontaminate, op10_toxicity)
 }

@@ -18,7 +18,6 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +27,12 @@ from pyspark.sql import functions as F
 
 from echoloom.llm import words as W
 from echoloom.llm.common import whole_text
+from echoloom.llm.distinct import PieceIds, code_points
 from echoloom.llm.wavelet import WaveletMatrix
 from echoloom.session import scratch_path
 
 END = 0
 SHARD_TOKENS = 1_000_000
-#: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 _QUOTE = 39
 _TAILS = (("s",), ("t",), ("m",), ("d",), ("r", "e"), ("v", "e"), ("l", "l"))
@@ -95,18 +93,7 @@ class Encoder:
         self.library = Tokenizer.from_str(model)
         self.kinds = np.frombuffer(kinds, np.uint8)
         self.added = [t["content"] for t in json.loads(model).get("added_tokens", [])]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.offsets, self.pool = np.zeros(1, np.int64), np.zeros(0, np.int32)
-
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        lists = [made.ids for made in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        self.known.update(zip(hashes, range(len(self.known), len(self.known) + len(hashes)), strict=True))
-        ends = self.offsets[-1] + np.cumsum([len(ids) for ids in lists])
-        self.offsets = np.concatenate((self.offsets, ends))
-        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(lists), np.int32, ends[-1] - len(self.pool))))
+        self.pieces = PieceIds(lambda texts: [made.ids for made in self.library.encode_batch_fast(texts, add_special_tokens=False)])
 
     def encode(self, part: W.Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a slice, number of ids of each text)."""
@@ -115,28 +102,8 @@ class Encoder:
             texts = [part.data[a:b].tobytes().decode("utf-8") for a, b in zip(part.offsets[:-1], part.offsets[1:], strict=True)]
             lists = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             return np.array([i for ids in lists for i in ids], np.int32), np.array([len(ids) for ids in lists], np.int64)
-        text = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        before = np.concatenate(([0], np.cumsum((part.data & 0xC0) != 0x80)))
-        rows = before[part.offsets]
-        starts = piece_starts(text, self.kinds[text], rows)
-        ends = np.append(starts[1:], len(text))[: len(starts)]
-        up, down = W._power_table(len(text) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)])))
-        h = W.mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        distinct, where, number = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        keys = distinct.tolist()
-        new = [i for i, key in enumerate(keys) if key not in self.known]
-        if new:
-            first = where[new]
-            self._learn([keys[i] for i in new], [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        entry = np.array([self.known[key] for key in keys], np.int64)
-        begin = self.offsets[entry][number]
-        length = self.offsets[entry + 1][number] - begin
-        total = np.concatenate(([0], np.cumsum(length)))
-        ids = self.pool[np.repeat(begin - total[:-1], length) + np.arange(total[-1])]
-        return ids, np.diff(total[np.searchsorted(starts, rows)])
+        whole, text, rows = code_points(part)
+        return self.pieces.of(whole, text, piece_starts(text, self.kinds[text], rows), rows)
 
     @property
     def depth(self) -> int:

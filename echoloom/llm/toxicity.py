@@ -60,7 +60,7 @@ def _hidden_hits(part: W.Slice, lexicon: np.ndarray) -> np.ndarray:
     tokens = W.Words(part, W.non_space_bytes(), W.ascii_lower())
     letters = _looks_like()[part.data]
     counted = np.concatenate(([0], np.cumsum(letters > 0)))
-    up, down = W._power_table(len(part.data) + 1)
+    up, down = W.power_table(len(part.data) + 1)
     value = np.where(letters > 0, letters.astype(np.uint64) + np.uint64(1), np.uint64(0)) * up[counted[:-1]]
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
     h = W.mixed((sums[tokens.end] - sums[tokens.start]) * down[counted[tokens.start]])

@@ -25,7 +25,7 @@ def _inverse(odd: int) -> int:
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64, for exponents below ``n`` at least."""
     if len(_powers["up"]) < n:
         for name, base in (("up", int(_ODD)), ("down", _inverse(int(_ODD)))):
@@ -108,7 +108,7 @@ class Words:
         self.row = np.repeat(np.arange(part.n_rows), self.count)
         folded = data if fold is None else fold[data]
         self.folded = folded
-        up, down = _power_table(n + 1)
+        up, down = power_table(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
         self.hash = mixed((sums[ends] - sums[starts]) * down[starts])
@@ -117,7 +117,7 @@ class Words:
 def word_hash(word: str) -> int:
     """The hash that :class:`Words` gives to ``word``."""
     data = np.frombuffer(word.encode(), np.uint8).astype(np.uint64) + np.uint64(1)
-    up, _ = _power_table(len(data) + 1)
+    up, _ = power_table(len(data) + 1)
     return int(mixed(np.array([np.sum(data * up[: len(data)], dtype=np.uint64)], np.uint64))[0])
 
 
