@@ -15,7 +15,6 @@ MIN_WORDS = 10
 DEFAULT_WINDOW_DAYS = 28
 MIN_WINDOW_DAYS = 7
 MAX_WINDOW_DAYS = 35
-SCAN_LIMIT = 4000
 SOURCE_NAME = "google_play"
 
 SCORE_BATCH_SIZE = 10
@@ -119,26 +118,27 @@ class PiiRule:
 
     ``needs`` lists expressions of which a text must match at least one for the rule to have any
     effect; cheap tests that spare most texts the rule. Empty means the rule always runs.
-    ``starts`` is a class that holds every first character of a match; it is looked for ahead of
-    the pattern where the pattern itself would test each position for a word boundary.
+    ``guard`` is an assertion that holds wherever a match can start. It goes ahead of the pattern where the
+    pattern itself would try far more positions: a class of all first characters, or a look behind
+    that refuses to start in the middle of a word.
     """
 
     name: str
     pattern: str
     tag: str
     needs: tuple[str, ...] = ()
-    starts: str = ""
+    guard: str = ""
 
 
 FOUR_DIGITS = (r"\d{4}",)
 
 PII_RULES = (
     PiiRule("email", EMAIL_PATTERN, EMAIL_TAG, ("@",)),
-    PiiRule("phone", PHONE_PATTERN, PHONE_TAG, FOUR_DIGITS, r"[+\d]"),
+    PiiRule("phone", PHONE_PATTERN, PHONE_TAG, FOUR_DIGITS, r"(?=[+\d])"),
     PiiRule("pan", PAN_PATTERN, ID_TAG, FOUR_DIGITS),
     PiiRule("aadhaar", AADHAAR_PATTERN, ID_TAG, FOUR_DIGITS),
     PiiRule("account", ACCOUNT_PATTERN, ID_TAG, FOUR_DIGITS),
-    PiiRule("username", USERNAME_PATTERN, USER_TAG, ("@", r"[0-9]{3}")),
+    PiiRule("username", USERNAME_PATTERN, USER_TAG, ("@", r"[0-9]{3}"), r"(?:(?=@)|(?<![a-zA-Z_]))"),
 )
 
 

@@ -34,7 +34,7 @@ def _col(c: Column | str) -> Column:
 
 def redact(c: Column | str, rule: PiiRule) -> Column:
     """Replace what one rule finds; null stays null."""
-    pattern = f"(?={rule.starts})(?:{rule.pattern})" if rule.starts else rule.pattern
+    pattern = f"{rule.guard}(?:{rule.pattern})" if rule.guard else rule.pattern
     return F.regexp_replace(_col(c), UNICODE + pattern, rule.tag)
 
 
@@ -113,10 +113,16 @@ def correct_typos(c: Column | str, typos: Mapping[str, str] = config.TYPOS) -> C
     for wrong, right in typos.items():
         if wrong != right:
             literal = right.replace("\\", "\\\\").replace("$", "\\$")
-            text = F.regexp_replace(text, f"{UNICODE}\\b{re.escape(wrong)}\\b", literal)
+            text = F.regexp_replace(text, whole_word(wrong), literal)
     return text
 
 
+def whole_word(word: str) -> str:
+    """A pattern for a whole word that begins with the word itself, so that a search skips to its first letter."""
+    literal = re.escape(word)
+    return f"{UNICODE}{literal}\\b(?<=\\b{literal})"
+
+
 def _leaves_gaps(typos: Mapping[str, str]) -> bool:
     """Whether a replacement may bring in whitespace that has to be collapsed again."""
     return any(right == "" or re.search(r"\s", right) for right in typos.values())
@@ -167,7 +173,9 @@ def clean_word_count(c: Column | str) -> Column:
 
 
 def has_words(c: Column | str, n: int) -> Column:
-    """Whether a text has at least ``n`` words; stops reading at the n-th word."""
+    """Whether a text has at least ``n`` words; stops reading at the n-th word. Any text, also null, has none or more."""
+    if n <= 0:
+        return F.lit(True)
     return _col(c).rlike(f"{UNICODE}\\A\\s*+(?:\\S++\\s++){{{n - 1}}}\\S")
 
 

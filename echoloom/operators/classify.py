@@ -115,14 +115,18 @@ def classify_reviews(
     return validate_predictions(merged, "clean_text", taxonomy, word_boundary)
 
 
-def enrich_join(classifications: DataFrame, reviews: DataFrame, key: str = "review_id") -> DataFrame:
+def enrich_join(
+    classifications: DataFrame, reviews: DataFrame, key: str = "review_id", unique: bool = False
+) -> DataFrame:
     """Classifications with the review they belong to; defaults where there is none.
 
     Should an identifier occur more than once among the reviews, its latest row counts, found by
-    aggregation so that the join never multiplies rows.
+    aggregation so that the join never multiplies rows. ``unique`` skips that where the key is known to be unique, as
+    it is after cleaning; the texts are then neither sorted nor aggregated.
     """
     carried = [c for c in ("date", "rating", "title", "text", "clean_text") if c in reviews.columns]
-    latest = reviews.groupBy(key).agg(F.max(F.struct(*carried)).alias("_review"))
+    row = F.struct(*carried).alias("_review")
+    latest = reviews.select(key, row) if unique else reviews.groupBy(key).agg(F.max(row).alias("_review"))
     joined = classifications.join(latest, key, "left")
     defaults = {"rating": F.lit(0), "title": F.lit(""), "text": F.lit(""), "clean_text": F.lit("")}
     review = [

@@ -28,9 +28,10 @@ CLEAN_COLUMNS = [
 ]
 
 
-def latest_reviews(raw: DataFrame, limit: int = config.SCAN_LIMIT) -> DataFrame:
-    """The newest ``limit`` raw reviews, as a bounded fetch would return them."""
-    return raw.orderBy(F.desc("at"), "source_review_id").limit(limit)
+def latest_reviews(raw: DataFrame, limit: int | None = None) -> DataFrame:
+    """Raw reviews, newest first: all of them, or only as many as a caller asks for."""
+    newest = raw.orderBy(F.desc("at"), "source_review_id")
+    return newest if limit is None else newest.limit(limit)
 
 
 def filter_relevance(raw: DataFrame, column: str = "thumbs_up") -> DataFrame:

@@ -44,13 +44,20 @@ def chunk_reviews(
     return with_chunk(_themed(classified), size, [*period, "theme"])
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """A join in which null keys meet null keys; the right side's keys are left out."""
+    side = right.select(*[F.col(c).alias(f"_same_{c}") if c in keys else c for c in right.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in keys]
+    return left.join(side, on, how).drop(*[f"_same_{c}" for c in keys])
+
+
 def _themed(classified: DataFrame) -> DataFrame:
     return classified.withColumn("theme", F.coalesce("review_theme", F.lit(config.UNKNOWN_THEME)))
 
 
 def select_themes(classified: DataFrame, top: DataFrame, period: Sequence[str] = ()) -> DataFrame:
-    """The reviews of the chosen themes. ``top`` holds at most a few rows per period, so it is broadcast."""
-    return _themed(classified).join(F.broadcast(top.select(*period, "theme")), [*period, "theme"], "left_semi")
+    """The reviews of the chosen themes; a null period is one of its own."""
+    return _same(_themed(classified), top.select(*period, "theme"), [*period, "theme"], "left_semi")
 
 
 def chunk_text(
@@ -147,15 +154,18 @@ def first_distinct(
 ) -> DataFrame:
     """The first ``n`` distinct values per theme, ordered by first occurrence, with their rank.
 
-    Values collapse to their earliest place first; chunk and place in one long keep that a hash
-    aggregate. The rank filter then becomes a group limit that every task applies before the
+    Digests of the values collapse to their earliest place first, so no text is a group key; chunk and place in one
+    long keep that a hash aggregate. The values of the places chosen are fetched in the end; ``rows`` is read twice. The rank filter then becomes a group limit that every task applies before the
     shuffle, so a theme never arrives whole anywhere.
     """
-    place = F.shiftleft("chunk_id", 20) + F.col("pos")
-    earliest = rows.groupBy(*period, "theme", value).agg(F.min(place).alias("_place"))
-    order = Window.partitionBy(*period, "theme").orderBy("_place")
+    keys = [*period, "theme"]
+    placed = rows.withColumn("_place", F.shiftleft("chunk_id", 20) + F.col("pos"))
+    digest = F.unhex(F.sha2(value, 256)).alias("_digest")
+    earliest = placed.groupBy(*keys, digest).agg(F.min("_place").alias("_place"))
+    order = Window.partitionBy(*keys).orderBy("_place")
     ranked = earliest.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return ranked.select(*period, "theme", "rank", value)
+    chosen = ranked.select(*keys, "_place", "rank")
+    return _same(placed.select(*keys, "_place", value), chosen, [*keys, "_place"], "inner").select(*keys, "rank", value)
 
 
 def top_quotes(
@@ -184,7 +194,7 @@ def theme_summary(
     parts = key_point_parts(collect_key_points(chunk_results, period), period, chunks_per_part)
     empty = F.array().cast("array<string>")
     return (
-        top.join(quotes, keys, "left").join(parts, keys, "left").select(
+        _same(_same(top, quotes, keys, "left"), parts, keys, "left").select(
             *period, "theme_rank", "theme", F.coalesce("part", F.lit(0).cast("long")).alias("part"), "review_count",
             F.coalesce("aggregated_key_points", empty).alias("aggregated_key_points"),
             F.coalesce("aggregated_candidate_quotes", empty).alias("aggregated_candidate_quotes"),
@@ -199,7 +209,7 @@ def theme_digest(top: DataFrame, chunk_results: DataFrame, period: Sequence[str]
         collect_key_points(chunk_results, period), "key_point", BULLETS_PER_THEME, period
     ).groupBy(*keys).agg(_in_rank_order("key_point").alias("summary_bullets"))
     quotes = top_quotes(chunk_results, 1, period).select(*keys, "quote")
-    return top.join(bullets, keys, "left").join(quotes, keys, "left").select(
+    return _same(_same(top, bullets, keys, "left"), quotes, keys, "left").select(
         *period, "theme_rank", "theme", "review_count",
         report.priority_signal(F.col("theme_rank")).alias("priority_signal"),
         F.coalesce("summary_bullets", F.array().cast("array<string>")).alias("summary_bullets"), "quote",
@@ -218,13 +228,13 @@ def reduce_pulse(
     ordered = F.sort_array(F.collect_list(entry))
     empty = F.array().cast("array<string>")
     grouped = digest.groupBy(*period).agg(ordered.alias("_themes"))
-    joined = grouped.join(bounds, list(period), "inner") if period else grouped.withColumns({
+    joined = _same(grouped, bounds, list(period), "inner") if period else grouped.withColumns({
         "start_date": bounds.select("start_date").scalar(), "end_date": bounds.select("end_date").scalar(),
     })
     if actions is None:
         joined = joined.withColumn("action_ideas", empty)
     elif period:
-        joined = joined.join(actions, list(period), "left").withColumn(
+        joined = _same(joined, actions, list(period), "left").withColumn(
             "action_ideas", F.coalesce("action_ideas", empty)
         )
     else:
@@ -250,16 +260,19 @@ def generate_pulse(
     period: Sequence[str] = (),
     summarize: Callable[[DataFrame], DataFrame] | None = None,
     layer: Callable[[DataFrame, str], DataFrame] = lambda df, label: df,
+    reduce: Callable[..., DataFrame] | None = None,
+    actions: DataFrame | None = None,
 ) -> DataFrame:
     """The pulses of all periods in one job.
 
     ``summarize`` turns chunked reviews into chunk results; the default needs no model. ``layer``
-    may write the chunk results (``session.materialize``) so that they are computed once.
+    may write the chunk results (``session.materialize``) so that they are computed once. ``reduce`` makes the pulses from the
+    themes' digest, the bounds, the period columns and ``actions`` (see ``reduce_pulse``, the default).
     """
     top = top_themes(classified, period=period)
     chunked = chunk_reviews(select_themes(classified, top, period), period=period)
     results = layer((summarize or (lambda c: summarize_chunks_builtin(c, period)))(chunked), "chunk-results")
-    return reduce_pulse(theme_digest(top, results, period), period_bounds(classified, period), period)
+    return (reduce or reduce_pulse)(theme_digest(top, results, period), period_bounds(classified, period), period, actions)
 
 
 def note_word_limit(pulses: DataFrame, limit: int = config.NOTE_MAX_WORDS) -> DataFrame:

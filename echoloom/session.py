@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
-
 
 def build_session(app_name: str = "echoloom", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the jobs expect; keyword arguments use ``__`` for dots."""
@@ -28,25 +25,50 @@ def build_session(app_name: str = "echoloom", master: str | None = None, **conf)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local session may go without the setting; it then gets one temporary folder.
-    """
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not configured:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="echoloom-")
-    return _local_dirs[app]
+    return configured.rstrip("/")
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The one folder below it in which this application keeps its intermediate tables."""
+    return f"{shared_dir(spark)}/echoloom-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the application's folder that nothing has used yet."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables, once no result that reads them is needed any more."""
+    files, target = _hadoop_path(spark, run_dir(spark))
+    files.delete(target, True)
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    """Make a folder on the file system that its path names."""
+    files, target = _hadoop_path(spark, path)
+    files.mkdirs(target)
+
+
+def is_dir(spark: SparkSession, path: str) -> bool:
+    files, target = _hadoop_path(spark, path)
+    return files.getFileStatus(target).isDirectory()
+
+
+def newest_folder(spark: SparkSession, path: str, prefix: str) -> str | None:
+    """The name of the folder below ``path`` that changed last, of those whose names start with ``prefix``."""
+    files, target = _hadoop_path(spark, path)
+    found = [(s.getModificationTime(), s.getPath().getName()) for s in files.listStatus(target) if s.isDirectory()]
+    return max(((at, name) for at, name in found if name.startswith(prefix)), default=(0, None))[1]
 
 
 def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -60,18 +82,3 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
-
-SMALL_SCAN_PARTITIONS = 64
-
-
-def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan of a few file splits one partition per core.
-
-    A scan with more than ``SMALL_SCAN_PARTITIONS`` splits is returned as it is, so a large table
-    is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    if splits < min(cores, SMALL_SCAN_PARTITIONS):
-        return df.repartition(min(cores, SMALL_SCAN_PARTITIONS), key)
-    return df

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echoloom import schemas
+from echoloom.session import newest_folder
 
 
 def read_reviews(spark: SparkSession, path: str, schema: T.StructType = schemas.REVIEWS_RAW) -> DataFrame:
@@ -54,18 +55,14 @@ def read_reviews_csv(spark: SparkSession, path: str, schema: T.StructType, colum
     ).csv(path)
 
 
-def latest_run(spark: SparkSession, path: str, schema: T.StructType, by: str = "run_key") -> DataFrame:
-    """The rows of the newest run in a table partitioned by ``run_key``; no rows if there is none.
+def latest_run(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of the run that was written last, with its ``run_key``, from a table with one folder per run.
 
-    ``by="run_key"`` takes the greatest key and touches no file of another run; ``by="file_time"``
-    takes the run that was written last.
+    Only the list of run folders is looked at, and only the newest is opened; a later run over an earlier window counts as
+    newer. Runs written at the same moment are ordered by key. No rows if there is no run.
     """
-    full = T.StructType([*schema.fields, T.StructField("run_key", T.StringType())])
-    runs = spark.read.schema(full).parquet(path)
-    if by == "run_key":
-        newest = runs.agg(F.max("run_key").alias("run_key"))
-    else:
-        newest = runs.agg(
-            F.max_by("run_key", F.struct("_metadata.file_modification_time", "run_key")).alias("run_key")
-        )
-    return runs.filter(F.col("run_key") == newest.scalar())
+    newest = newest_folder(spark, path, "run_key=")
+    if newest is None:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("run_key", T.StringType())]))
+    key = newest.removeprefix("run_key=")
+    return spark.read.schema(schema).parquet(f"{path}/{newest}").withColumn("run_key", F.lit(key))

@@ -30,13 +30,15 @@ def write_clean_json(clean: DataFrame, path: str, mode: str = "overwrite") -> No
     write_records_json(clean.select(*CLEAN_COLUMNS), path, mode)
 
 
-def write_records_json(df: DataFrame, path: str, mode: str = "overwrite", key: str = "review_id") -> None:
-    """A table as documents ``{"records": [...]}`` of about a thousand records each.
+def write_records_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A table as documents ``{"records": [...]}`` of at most a thousand records each.
 
-    The number of documents follows from the number of rows, so none grows with the table.
+    Each task numbers its rows and closes a document after so many, so none grows with the table and the input is
+    read once.
     """
-    documents = F.greatest(F.ceil(F.lit(df.count()) / RECORDS_PER_DOCUMENT), F.lit(1))
-    grouped = df.groupBy(F.pmod(F.xxhash64(key), documents).alias("_document")).agg(
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    task, row = F.shiftrightunsigned("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    grouped = numbered.groupBy(task.alias("_task"), F.floor(row / RECORDS_PER_DOCUMENT).alias("_document")).agg(
         F.collect_list(F.struct(*df.columns)).alias("records")
     )
     grouped.select("records").write.mode(mode).json(path)

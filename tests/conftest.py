@@ -14,17 +14,19 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from echoloom.session import build_session
+def spark(tmp_path_factory):
+    from echoloom.session import build_session, remove_scratch
 
     session = build_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g"
+        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
     from workload.shipping import ship_packages
 
     ship_packages(session)
     yield session
+    remove_scratch(session)
     session.stop()
 
 

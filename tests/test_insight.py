@@ -20,15 +20,31 @@ def classified(spark, counts, day=dt.date(2025, 11, 3)):
     ).withColumn("week_start_date", F.date_trunc("week", "date").cast("date"))
 
 
-def test_positions_are_exact_for_any_slice_size(spark):
+def test_positions_are_exact(spark):
     df = classified(spark, {"a": 57, "b": 3})
     expected = {}
     for theme in ("a", "b"):
         ids = [r.review_id for r in df.filter(F.col("review_theme") == theme).orderBy("date", "review_id").collect()]
         expected.update({i: n for n, i in enumerate(ids)})
-    for chars in (1, 2, 4):
-        out = order.with_position(df.repartition(5), ["review_theme"], prefix_chars=chars).collect()
-        assert {r.review_id: r.position for r in out} == expected
+    out = order.with_position(df.repartition(5), ["review_theme"]).collect()
+    assert {r.review_id: r.position for r in out} == expected
+
+
+def test_positions_follow_any_identifier(spark):
+    """Numbers, a common prefix, one group with nine tenths of the rows, nulls in every key."""
+    day = dt.date(2025, 11, 3)
+    rows = [(i, f"user_{i:05d}", "big" if i % 10 else "small", day) for i in (2, 4, 9, 10, 100, 30000, *range(200, 900))]
+    df = spark.createDataFrame(rows, "number long, name string, theme string, date date").repartition(6)
+    for key in ("number", "name"):
+        for theme in ("big", "small"):
+            ordered = sorted(r[0] for r in rows if r[2] == theme)
+            out = order.with_position(df, ["theme"], identifier=key).filter(F.col("theme") == theme).collect()
+            assert {r.number: r.position for r in out} == {n: place for place, n in enumerate(ordered)}
+    odd = spark.createDataFrame(
+        [(1, None, "a"), (None, day, "a"), (2, day, "a"), (3, day, None)], "review_id long, date date, theme string"
+    )
+    assert sorted(r.position for r in order.with_position(odd, ["theme"]).collect()) == [0, 0, 1, 2]
+    assert sorted(r.position for r in order.with_position(odd).collect()) == [0, 1, 2, 3]
 
 
 def test_chunks_hold_their_size(spark):
@@ -37,11 +53,13 @@ def test_chunks_hold_their_size(spark):
     assert sizes == {(EXEC, 0): 20, (EXEC, 1): 20, (EXEC, 2): 5, (UI, 0): 20}
 
 
-def test_no_window_over_a_whole_theme(spark):
-    """The rows are windowed by slice; only the slice counts are windowed by theme."""
-    plan = insight.chunk_reviews(classified(spark, {EXEC: 5}))._jdf.queryExecution().optimizedPlan().toString()
-    row_window = [line for line in plan.splitlines() if "row_number()" in line and "Window" in line]
-    assert row_window and all("_prefix" in line.split("windowspecdefinition")[1] for line in row_window)
+def test_no_window_over_rows(spark):
+    """Only one row per group and range is windowed, also where there are no groups."""
+    for table in (insight.chunk_reviews(classified(spark, {EXEC: 5})), scoring.batch_reviews(classified(spark, {EXEC: 5}))):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "row_number()" not in plan
+        window = next(line for line in plan.splitlines() if "Window [" in line)
+        assert "sum(_n" in window
 
 
 def test_top_themes_break_ties_by_first_appearance(spark):

@@ -6,7 +6,7 @@ import pytest
 
 from echoloom import schemas
 from echoloom.operators import clean
-from echoloom.session import shared_dir
+from echoloom import session
 from echoloom.sources import readers, writers
 from workload import views
 
@@ -74,8 +74,10 @@ def test_pulse_files_and_latest_run(spark, tmp_path):
     path = str(tmp_path / "runs")
     writers.write_pulse_runs(pulses(spark, PULSES[1]), path)
     writers.write_pulse_runs(pulses(spark, PULSES[0]), path, "append")
-    assert readers.latest_run(spark, path, schemas.PULSE).first().note_markdown == "second"
-    assert readers.latest_run(spark, path, schemas.PULSE, by="file_time").first().note_markdown == "first"
+    newest = readers.latest_run(spark, path, schemas.PULSE).first()
+    assert (newest.note_markdown, newest.run_key) == ("first", "20251103_20251109")  # written last, with the smaller key
+    (tmp_path / "none").mkdir()
+    assert readers.latest_run(spark, str(tmp_path / "none"), schemas.PULSE).count() == 0
     single = str(tmp_path / "one")
     writers.write_pulse(pulses(spark, PULSES[0]), single)
     row = readers.read_pulse_json(spark, single).first()
@@ -100,5 +102,9 @@ def test_raw_filters_reach_the_scan(spark, sf_dir, tmp_path):
     assert "review_text" not in plan.split("ReadSchema")[1]
 
 
-def test_local_sessions_get_one_shared_dir(spark):
-    assert shared_dir(spark) == shared_dir(spark)
+def test_intermediate_tables_lie_in_one_folder_and_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    table = session.materialize(spark.range(3), "layer")
+    assert table.count() == 3 and [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["echoloom"]
+    session.remove_scratch(spark)
+    assert list(tmp_path.iterdir()) == []

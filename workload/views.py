@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoloom.operators import classify, clean
-from echoloom.session import spread_small_scan
 
 AS_OF = dt.date(2025, 12, 7)
 WINDOW_DAYS = 35
@@ -33,7 +32,7 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small_scan(spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
 
 
 def as_reviews(docs: DataFrame) -> DataFrame:
@@ -103,7 +102,11 @@ def stage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(
         F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"),
         (F.max("value") < 250).alias("succeeded"), F.count(F.lit(1)).alias("n_rows"),
-    )
+    ).withColumns({
+        "output": F.concat(F.lit("layers/"), "stage"),
+        "details": F.when(F.col("succeeded"), "").otherwise(F.concat(F.lit("over the limit in "), "stage")),
+        "window_start": F.to_date("started_at"), "window_end": F.to_date("ended_at"),
+    })
 
 
 def reviews_unchecked(spark: SparkSession, sf_dir: str) -> DataFrame:
