@@ -18,13 +18,21 @@ def schema_differences(left: DataFrame, right: DataFrame) -> list[str]:
 def compare_outputs(
     left: DataFrame, right: DataFrame, key: str = "review_id", columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Counts of rows, of keys on one side only, and of keys whose values differ, per column.
+    """Counts of rows, of keys on one side only, of keys whose values differ, per column, and of columns that differ.
+
+    Values are compared for the columns that both sides have; a column of one side only, or of another type, is a finding.
 
     Both sides are stacked and aggregated by key. Per key and column the sums of the value hashes
     are compared, so repeated keys compare as multisets and are never paired with each other.
     The sums are fixed-width, so the aggregate hashes and combines on the map side.
     """
-    compared = [c for c in (columns or left.columns) if c != key]
+    ours = {f.name: f.dataType.simpleString() for f in left.schema.fields}
+    theirs = {f.name: f.dataType.simpleString() for f in right.schema.fields}
+    compared = [c for c in (columns or left.columns) if c != key and c in ours and c in theirs]
+    columns_apart = {
+        "columns_left_only": sum(c not in theirs for c in ours), "columns_right_only": sum(c not in ours for c in theirs),
+        "columns_type_differs": sum(c in theirs and theirs[c] != kind for c, kind in ours.items()),
+    }
 
     def side(df: DataFrame, sign: int) -> DataFrame:
         hashes = [
@@ -49,6 +57,7 @@ def compare_outputs(
         F.count_if(shared & (F.col("n_left") != F.col("n_right"))).alias("keys_count_differs"),
         *[F.count_if(shared & (F.col(f"d_{i}") != 0)).alias(f"differs_{c}") for i, c in enumerate(compared)],
     )
+    totals = totals.withColumns({name: F.lit(n).cast("long") for name, n in columns_apart.items()})
     findings = [c for c in totals.columns]
     rows = [F.struct(F.lit(c).alias("finding"), F.col(c).cast("long").alias("n")) for c in findings]
     return totals.select(F.inline(F.array(*rows)))

@@ -11,8 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from echoloom import config
+from echoloom import config, schemas
 from echoloom.config import Taxonomy
 from echoloom.functions import text
 from echoloom.operators.clean import CLEAN_COLUMNS, redact_column
@@ -88,6 +89,24 @@ def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
+def with_absent_as_null(df: DataFrame, schema: StructType) -> DataFrame:
+    """The table with every column of ``schema``; those it lacks are null, so that the checks on them fail."""
+    absent = set(missing_columns(df, schema.fieldNames()))
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name in absent})
+
+
+def columns_present(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """The number of required columns that a table does not have, also for a table without rows."""
+    n = len(missing_columns(df, required))
+    return _verdict(df.agg(F.count(F.lit(1)).alias("_rows")).select(F.lit(n).alias("columns_present")), ["columns_present"])
+
+
+def required_fields(df: DataFrame, schema: StructType, required: Sequence[str], check: Column) -> DataFrame:
+    """Rows with a null in a required column, and required columns that are absent."""
+    rows = count_bad(with_absent_as_null(df, schema), {"required_fields": check})
+    return rows.unionByName(columns_present(df, required))
+
+
 def unique_ids(df: DataFrame, key: str = "review_id") -> DataFrame:
     """Rows beyond the first of each identifier."""
     groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -116,14 +135,16 @@ def summary_reconcile(classified: DataFrame, summary: DataFrame, tolerance: floa
 
 def clean_suite(clean: DataFrame, source: str = config.SOURCE_NAME) -> DataFrame:
     """All checks of the clean layer."""
-    rows = count_bad(with_redacted_again(clean), clean_checks(source))
-    return rows.unionByName(unique_ids(clean)).unionByName(rating_spread(clean))
+    full = with_absent_as_null(clean, schemas.REVIEWS_CLEAN)
+    rows = count_bad(with_redacted_again(full), clean_checks(source)).unionByName(columns_present(clean, CLEAN_COLUMNS))
+    return rows.unionByName(unique_ids(full)).unionByName(rating_spread(full))
 
 
 def classified_suite(classified: DataFrame, summary: DataFrame) -> DataFrame:
     """All checks of the classified layer."""
-    rows = count_bad(classified, classified_checks())
-    return rows.unionByName(summary_reconcile(classified, summary))
+    full = with_absent_as_null(classified, schemas.REVIEWS_CLASSIFIED)
+    rows = count_bad(full, classified_checks()).unionByName(columns_present(classified, CLASSIFIED_REQUIRED))
+    return rows.unionByName(summary_reconcile(full, summary))
 
 
 def dq_suite(clean: DataFrame, classified: DataFrame, summary: DataFrame) -> DataFrame:

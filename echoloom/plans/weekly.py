@@ -27,8 +27,10 @@ def weekly_pulse(
     key: str = "source_review_id",
     period: tuple[str, ...] = ("week_start_date",),
     summarize: Callable[[DataFrame], DataFrame] | None = None,
+    reduce: Callable[..., DataFrame] | None = None,
+    actions: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Pulses of every period in the window.
+    """Pulses of every period in the window. ``actions`` makes the action ideas of each period from the classified layer.
 
     The classified layer is written once and read by the steps after it: top themes, slice counts
     and chunks all need it, and none of them should clean the texts again.
@@ -36,7 +38,7 @@ def weekly_pulse(
     start, end = dates.date_window(as_of, window_days)
     reviews = clean.clean_reviews(clean.normalize_reviews(raw, start, end))
     classified = materialize(classify.classify_reviews(reviews, predictions, key), "classified")
-    return insight.generate_pulse(classified, period, summarize, materialize)
+    return insight.generate_pulse(classified, period, summarize, materialize, reduce, actions(classified) if actions else None)
 
 
 @dataclass(frozen=True)
@@ -66,6 +68,7 @@ def run_weekly(
     (``observe``). Since each stage starts from a written table, a run can be repeated from any.
     """
     paths = RunPaths(base)
+    start, end = dates.date_window(as_of, window_days)
     log: list[tuple] = []
 
     def stage(
@@ -77,10 +80,10 @@ def run_weekly(
             table = build()
             write(table.observe(seen, F.count(F.lit(1)).alias("n")), output)
         except Exception as error:
-            log.append((run_id, name, started, clock(), False, None, output, str(error)[:1000]))
+            log.append((run_id, name, started, clock(), False, None, output, str(error), start, end))
             writers.append_run_log(spark.createDataFrame(log, schemas.STAGE_LOG), paths.of("run_log"))
             raise
-        log.append((run_id, name, started, clock(), True, seen.get["n"], output, ""))
+        log.append((run_id, name, started, clock(), True, seen.get["n"], output, "", start, end))
         return table.schema
 
     def parquet(df: DataFrame, path: str) -> None:
@@ -89,7 +92,6 @@ def run_weekly(
     clean_path, classified_path, chunk_path, pulse_path = (
         paths.of(f"{name}/run_id={run_id}") for name in ("clean", "classified", "chunks", "pulses")
     )
-    start, end = dates.date_window(as_of, window_days)
     schema = stage("clean", clean_path, lambda: clean.clean_reviews(clean.normalize_reviews(raw, start, end)), parquet)
     reviews = spark.read.schema(schema).parquet(clean_path)
     schema = stage("classify", classified_path, lambda: classify.classify_reviews(reviews, predictions, key), parquet)

@@ -78,7 +78,9 @@ CHUNK_RESPONSE = T.StructType([
 ])
 
 THEME_SUMMARY = T.StructType([
+    T.StructField("theme_rank", T.IntegerType()),
     T.StructField("theme", T.StringType()),
+    T.StructField("part", T.LongType()),
     T.StructField("review_count", T.LongType()),
     T.StructField("aggregated_key_points", T.ArrayType(T.StringType())),
     T.StructField("aggregated_candidate_quotes", T.ArrayType(T.StringType())),
@@ -105,4 +107,6 @@ STAGE_LOG = T.StructType([
     T.StructField("n_rows", T.LongType()),
     T.StructField("output", T.StringType()),
     T.StructField("details", T.StringType()),
+    T.StructField("window_start", T.DateType()),
+    T.StructField("window_end", T.DateType()),
 ])

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from echoloom import config
 from echoloom.functions import dates, text
 from echoloom.operators import clean
+from echoloom.session import is_dir, make_dir
 
 WEEK_OFFSET = "4 days"
 LATENESS = "35 days"
@@ -19,15 +20,14 @@ BATCH = "batch_id"
 
 
 def stream_files(
-    spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", files_per_trigger: int = 1000
+    spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1000
 ) -> DataFrame:
-    """A stream of the Parquet files that land in a folder."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+    """A stream of the Parquet files of a table: those that land in its folder, or its single file."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if is_dir(spark, path):
+        return reader.option("pathGlobFilter", "*.parquet").parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def clean_stream(normalized: DataFrame, min_words: int = config.MIN_WORDS) -> DataFrame:
@@ -36,8 +36,12 @@ def clean_stream(normalized: DataFrame, min_words: int = config.MIN_WORDS) -> Da
     return clean.with_clean_text(dated.filter(text.has_words("text", min_words)))
 
 
-def _append_batches(path: str, build):
-    """A sink that writes each micro-batch into its own folder; a repeated batch replaces itself."""
+def _append_batches(spark: SparkSession, path: str, build):
+    """A sink that writes each micro-batch into its own folder; a repeated batch replaces itself.
+
+    The folder is there from the start, so a stream without rows leaves an empty table.
+    """
+    make_dir(spark, path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         build(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
@@ -56,7 +60,7 @@ def incremental_clean(normalized: DataFrame, path: str, checkpoint: str, min_wor
 
     return (
         clean_stream(normalized, min_words).writeStream
-        .foreachBatch(_append_batches(path, build))
+        .foreachBatch(_append_batches(normalized.sparkSession, path, build))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -99,7 +103,7 @@ def run_weekly_counts(events: DataFrame, theme: str, path: str, checkpoint: str,
     return (
         weekly_counts(events, theme, **kwargs).writeStream
         .outputMode("update")
-        .foreachBatch(_append_batches(path, lambda batch: batch))
+        .foreachBatch(_append_batches(events.sparkSession, path, lambda batch: batch))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

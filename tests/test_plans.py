@@ -94,12 +94,13 @@ def test_failed_stage_is_logged_and_stops_the_run(spark, sf_dir, tmp_path):
 def test_durations(spark):
     t = dt.datetime(2025, 12, 6, 17, 19, 2)
     log = spark.createDataFrame(
-        [("r", "a", t, t + dt.timedelta(seconds=9.5), True, 1, "", ""),
-         ("r", "b", t + dt.timedelta(seconds=10), t + dt.timedelta(seconds=20), False, 1, "", "")], schemas.STAGE_LOG
+        [("r", "a", t, t + dt.timedelta(seconds=9.5), True, 1, "", "", None, None),
+         ("r", "b", t + dt.timedelta(seconds=10), t + dt.timedelta(seconds=20), False, 1, "out/b", "why", t.date(), t.date())], schemas.STAGE_LOG
     )
     assert [r.seconds for r in runs.stage_durations(log).orderBy("stage").collect()] == [9.5, 10.0]
     row = runs.run_summary(log).first()
     assert (row.seconds, row.status, row.failed_stage) == (20.0, "error", "b")
+    assert (row.outputs, row.details, row.window_start) == ({"b": "out/b"}, {"b": "why"}, t.date())
 
 
 def test_written_layer_keeps_rows_and_order_of_columns(spark, sf_dir):

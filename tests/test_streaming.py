@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from echoloom.operators import clean
 from echoloom.streaming import incremental
+from workload.queries import QUERIES
 
 BODY = "one two three four five six seven eight nine ten"
 SCHEMA = "source_review_id long, date date, rating int, title string, text string, relevance long"
@@ -88,3 +90,21 @@ def test_repeats_within_the_watermark_keep_the_first_arrival(spark, tmp_path):
     assert run() == [1, 2]
     events(spark, folder, [(1, 2, "a", 3), (1, 10, "c", 4)])
     assert run() == [1, 2, 4]
+
+
+TABLES = ("incremental_clean", "stream_dedup", "stream_weekly_counts")
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_tables_of_several_files_stream_like_one(spark, sf_dir, tmp_path, name):
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    parts = {repr(r) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert parts == {repr(r) for r in QUERIES[name](spark, sf_dir).collect()} and parts
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_a_stream_without_rows_leaves_an_empty_table(spark, sf_dir, tmp_path, name):
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).count() == 0

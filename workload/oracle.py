@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from echoloom import config
+from echoloom.operators import insight
 from workload import views
 
 
@@ -213,16 +214,18 @@ def _pulse_ctes(prefix: str, keys: str, period: str, top: str) -> dict[str, str]
     by = f"GROUP BY {period}" if period else ""
     comma = f"{period}, " if period else ""
     join = f"USING ({period})" if period else "ON true"
+    idea = "'Look into ' || theme" if period else "NULL"
     return {
         f"{prefix}digest": f"""
             SELECT t.*, coalesce(b.bullets, []) AS bullets, q.quote
             FROM {top} t LEFT JOIN {prefix}bullets b USING ({keys})
             LEFT JOIN (SELECT * FROM {prefix}best_quotes WHERE rank = 1) q USING ({keys})""",
         f"{prefix}pulse": f"""
-            SELECT {comma}start_date, end_date, themes, bodies, quotes FROM (
+            SELECT {comma}start_date, end_date, themes, bodies, quotes, actions FROM (
               SELECT {comma}list({{'theme': theme, 'bullets': bullets}} ORDER BY theme_rank) AS themes,
                      list('*   **' || theme || ':** ' || array_to_string(bullets, ' ') ORDER BY theme_rank) AS bodies,
-                     list(quote ORDER BY theme_rank) FILTER (quote IS NOT NULL) AS quotes
+                     list(quote ORDER BY theme_rank) FILTER (quote IS NOT NULL) AS quotes,
+                     list({idea} ORDER BY theme_rank) FILTER ({idea} IS NOT NULL) AS actions
               FROM {prefix}digest {by}) JOIN
               (SELECT {comma}min(date) AS start_date, max(date) AS end_date FROM classified {by}) {join}""",
         f"{prefix}noted": f"""
@@ -232,13 +235,16 @@ def _pulse_ctes(prefix: str, keys: str, period: str, top: str) -> dict[str, str]
                    || chr(10) || chr(10) || '## User Voice (Quotes)'
                    || coalesce(chr(10) || nullif(array_to_string(list_transform(quotes, lambda q: '*   "' || q || '"'),
                                                                  chr(10)), ''), '')
-                   || chr(10) || chr(10) || '## Action Ideas' AS note_markdown
+                   || chr(10) || chr(10) || '## Action Ideas'
+                   || coalesce(chr(10) || nullif(array_to_string(list_transform(actions, lambda a: '*   ' || a), chr(10)), ''), '')
+                   AS note_markdown
             FROM {prefix}pulse""",
         f"{prefix}flat": f"""
             SELECT start_date, end_date,
                    array_to_string(list_transform(themes,
                      lambda t: t.theme || '=' || array_to_string(t.bullets, ',')), ';') AS themes,
-                   coalesce(array_to_string(quotes, '|'), '') AS quotes, '' AS action_ideas, note_markdown
+                   coalesce(array_to_string(quotes, '|'), '') AS quotes, coalesce(array_to_string(actions, '|'), '') AS action_ideas,
+                   note_markdown
             FROM {prefix}noted""",
     }
 
@@ -246,13 +252,13 @@ def _pulse_ctes(prefix: str, keys: str, period: str, top: str) -> dict[str, str]
 CTES |= _pulse_ctes("", "theme", "", "top")
 CTES |= _pulse_ctes("week_", "week_start_date, theme", "week_start_date", "week_top")
 CTES |= {
-    "summaries": """
-        SELECT t.theme_rank, t.theme, CAST(0 AS BIGINT) AS part, t.review_count,
-               coalesce((SELECT string_agg(key_point, '|' ORDER BY chunk_id, pos) FROM points p WHERE p.theme = t.theme), '')
-                 AS key_points,
+    "summaries": f"""
+        SELECT t.theme_rank, t.theme, coalesce(k.part, 0) AS part, t.review_count, coalesce(k.key_points, '') AS key_points,
                coalesce((SELECT string_agg(quote, '|' ORDER BY rank) FROM best_quotes q WHERE q.theme = t.theme), '')
                  AS quotes
-        FROM top t""",
+        FROM top t LEFT JOIN (
+          SELECT theme, chunk_id // {insight.CHUNKS_PER_PART} AS part, string_agg(key_point, '|' ORDER BY chunk_id, pos) AS key_points
+          FROM points GROUP BY ALL) k USING (theme)""",
     "unchecked": f"""
         SELECT CASE WHEN source_review_id % 17 = 0 THEN 'not-a-uuid' ELSE {_uuid('text')} END AS review_id,
                CASE WHEN source_review_id % 19 <> 0 THEN date END AS date,
@@ -268,13 +274,17 @@ CTES |= {
         FROM predictions""",
     "stages": """
         SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS stage, min(ts) AS started_at, max(ts) AS ended_at,
-               max(value) < 250 AS succeeded, count(*) AS n_rows
+               max(value) < 250 AS succeeded, count(*) AS n_rows,
+               'layers/' || event_type AS output, 'over the limit in ' || event_type AS details
         FROM events GROUP BY ALL""",
     "run_rows": """
         SELECT run_id, CASE WHEN bool_and(succeeded) THEN 'success' ELSE 'error' END AS status,
                (min({'a': started_at, 's': stage}) FILTER (NOT succeeded)).s AS failed_stage,
                count(*) AS n_stages, min(started_at) AS run_start, max(ended_at) AS run_end,
-               round(CAST(epoch_us(max(ended_at)) - epoch_us(min(started_at)) AS DOUBLE) / 1000000, 6) AS seconds
+               round(CAST(epoch_us(max(ended_at)) - epoch_us(min(started_at)) AS DOUBLE) / 1000000, 6) AS seconds,
+               coalesce(string_agg(stage || '=' || output, ';' ORDER BY stage), '') AS outputs,
+               coalesce(string_agg(stage || '=' || details, ';' ORDER BY stage) FILTER (NOT succeeded), '') AS details,
+               CAST(min(started_at) AS DATE) AS window_start, CAST(max(ended_at) AS DATE) AS window_end
         FROM stages GROUP BY run_id""",
     "string_dates": """
         SELECT source_review_id,
@@ -364,6 +374,17 @@ def _spread(table: str) -> str:
     return f"SELECT 'rating_spread' AS \"check\", {bad} = 0 AS passed, CAST({bad} AS BIGINT) AS n_bad FROM {table}"
 
 
+def _present(table: str, absent: int, layer: str) -> str:
+    return (
+        f"SELECT 'columns_present' AS \"check\", {absent} = 0 AS passed, CAST(count(*) * 0 + {absent} AS BIGINT) AS n_bad, "
+        f"{_q(layer)} AS layer FROM {table}"
+    )
+
+
+def _all_bad(table: str, layer: str) -> str:
+    return f"SELECT 'required_fields' AS \"check\", count(*) = 0 AS passed, count(*) AS n_bad, {_q(layer)} AS layer FROM {table}"
+
+
 TIMELINE = f"(?i)({config.TIMELINE_PATTERN})"
 COMPARED = TEN.split(", ")[1:]
 
@@ -384,9 +405,28 @@ def _compare() -> str:
            f"l.review_id IS NOT NULL AND r.review_id IS NOT NULL AND l.{c} IS DISTINCT FROM r.{c}") for c in COMPARED],
     ]
     both = f"({newer}) l FULL JOIN ({older}) r ON l.review_id = r.review_id"
-    return "\nUNION ALL ".join(
-        f"SELECT {_q(name)} AS finding, CAST(count(*) FILTER ({test}) AS BIGINT) AS n FROM {both}" for name, test in findings
-    )
+    return "\nUNION ALL ".join([
+        *[f"SELECT {_q(name)} AS finding, CAST(count(*) FILTER ({test}) AS BIGINT) AS n FROM {both}" for name, test in findings],
+        *_columns_apart(0),
+    ])
+
+
+def _columns_apart(n: int) -> list[str]:
+    return [
+        f"SELECT 'columns_{name}' AS finding, CAST(count(*) * 0 + {n} AS BIGINT) AS n FROM clean"
+        for name in ("left_only", "right_only", "type_differs")
+    ]
+
+
+SAME_ROWS = "\nUNION ALL ".join([
+    "SELECT 'rows_left' AS finding, count(*) AS n FROM clean", "SELECT 'rows_right' AS finding, count(*) AS n FROM clean",
+    *[
+        f"SELECT {_q(name)} AS finding, CAST(count(*) * 0 AS BIGINT) AS n FROM clean"
+        for name in ("keys_left_only", "keys_right_only", "keys_count_differs", "differs_date", "differs_text",
+                     "differs_clean_text", "differs_source")
+    ],
+    *_columns_apart(1),
+])
 
 
 WINDOWS = "\nUNION ALL ".join(
@@ -400,6 +440,8 @@ CHECKED_SUITE = "\nUNION ALL ".join([
     f"SELECT *, 'clean' AS layer FROM ({_unique('classified')})",
     f"SELECT *, 'clean' AS layer FROM ({_spread('classified')})",
     f"SELECT *, 'classified' AS layer FROM ({_checks('classified', CLASSIFIED_CHECKS)})",
+    _present("classified", 0, "clean"),
+    _present("classified", 0, "classified"),
     "SELECT 'summary_count' AS \"check\", true AS passed, CAST(count(*) * 0 AS BIGINT) AS n_bad, 'classified' AS layer FROM classified",
     "SELECT 'summary_mean' AS \"check\", true AS passed, CAST(count(*) * 0 AS BIGINT) AS n_bad, 'classified' AS layer FROM classified",
 ])
@@ -444,13 +486,13 @@ CHUNK_TEXTS = (
 
 STATEMENTS = {
     # sources and sinks
-    "scan_reviews": 'SELECT * FROM reviews_raw ORDER BY "at" DESC, source_review_id LIMIT 4000',
+    "scan_reviews": 'SELECT * FROM reviews_raw ORDER BY "at" DESC, source_review_id',
     "read_records_json": f"SELECT {TEN} FROM clean",
     "read_pulse_json": "SELECT * FROM week_flat",
     "read_reviews_csv": "SELECT rating, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS text_chars, "
                         "max(clean_text) AS last_text, min(date) AS first_date FROM clean GROUP BY rating",
     "latest_run": "SELECT strftime(start_date, '%Y%m%d') || '_' || strftime(end_date, '%Y%m%d') AS run_key, start_date, "
-                  "end_date, note_markdown FROM week_noted ORDER BY 1 DESC LIMIT 1",
+                  "end_date, note_markdown FROM week_noted ORDER BY 1 LIMIT 1",
     "write_clean": f"SELECT {TEN} FROM clean",
     "write_clean_csv": f"SELECT {EIGHT} FROM clean",
     "write_report_json": "SELECT week_start_date, week_end_date, count(*) AS n FROM clean GROUP BY ALL",
@@ -506,7 +548,7 @@ STATEMENTS = {
     "top_themes": "SELECT theme_rank, theme, review_count FROM top",
     "top_themes_weekly": "SELECT week_start_date, theme_rank, theme, review_count FROM week_top",
     "top_quotes": "SELECT theme, rank, quote FROM best_quotes",
-    "report_top3": "SELECT week_start_date, array_to_string(quotes[1:3], '|') AS quotes, '' AS action_ideas FROM week_pulse",
+    "report_top3": "SELECT week_start_date, array_to_string(quotes[1:3], '|') AS quotes, array_to_string(actions[1:3], '|') AS action_ideas FROM week_pulse",
     # aggregations
     "processing_funnel": "SELECT (SELECT count(*) FROM normalized) AS total_input, "
                          "count(*) AS after_min_word_filter, count(*) FILTER (rn > 1) AS duplicates_removed, "
@@ -540,6 +582,7 @@ STATEMENTS = {
                    "coalesce(c.title, '') AS title, coalesce(c.text, '') AS text, coalesce(c.clean_text, '') AS clean_text "
                    "FROM predictions p LEFT JOIN clean c USING (source_review_id)",
     "compare_outputs": _compare(),
+    "compare_columns": SAME_ROWS,
     # classification
     "theme_taxonomy": "SELECT v.precedence, v.theme, v.position, v.keyword, v.theme = 'UI & Feature Gaps' AS is_default, "
                       "count(c.review_id) AS n_reviews FROM vocabulary v LEFT JOIN clean c "
@@ -584,7 +627,7 @@ STATEMENTS = {
     "generate_pulse": "SELECT * FROM week_flat",
     # report columns
     "pulse_counts": "SELECT week_start_date, CAST(len(themes) AS BIGINT) AS n_themes, "
-                    "CAST(len(quotes) AS BIGINT) AS n_quotes, CAST(0 AS BIGINT) AS n_actions FROM week_pulse",
+                    "CAST(len(quotes) AS BIGINT) AS n_quotes, CAST(len(actions) AS BIGINT) AS n_actions FROM week_pulse",
     "priority_signal": "SELECT week_start_date, theme, CASE theme_rank WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' "
                        "ELSE 'FOCUS' END AS priority_signal FROM week_top",
     "bullet_category": "SELECT review_id, CASE "
@@ -602,7 +645,10 @@ STATEMENTS = {
                  WHEN 1 THEN ' within 3 WEEKS' WHEN 2 THEN ' - 1 sprint, soon' ELSE '' END AS action FROM clean))""",
     # data quality
     "dq_required_fields": f"SELECT *, 'clean' AS layer FROM ({_row_checks('required_fields')}) UNION ALL "
-                          f"SELECT *, 'classified' AS layer FROM ({_model_checks('required_fields')})",
+                          f"SELECT *, 'classified' AS layer FROM ({_model_checks('required_fields')}) UNION ALL "
+                          f"{_present('unchecked', 0, 'clean')} UNION ALL {_present('model_rows', 0, 'classified')}",
+    "dq_absent_columns": f"{_all_bad('unchecked', 'clean')} UNION ALL {_all_bad('model_rows', 'classified')} UNION ALL "
+                         f"{_present('unchecked', 1, 'clean')} UNION ALL {_present('model_rows', 1, 'classified')}",
     "dq_rating_source": _row_checks("rating_range", "source_constant"),
     "dq_dates": _row_checks("dates_valid", "week_span", "date_in_week"),
     "dq_text": _row_checks("text_present", "clean_lowercase", "clean_trimmed", "clean_single_spaced"),

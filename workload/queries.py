@@ -87,8 +87,12 @@ def q_read_reviews_csv(spark, sf):
 
 @query
 def q_latest_run(spark, sf):
+    """The run of the earliest week is written last, so the newest run has the smallest key."""
     path = scratch_path(spark, "pulse-runs")
-    writers.write_pulse_runs(_pulses(spark, sf), path)
+    pulses = materialize(_pulses(spark, sf), "pulses")
+    first = F.col("start_date") == pulses.agg(F.min("start_date").alias("day")).scalar()
+    writers.write_pulse_runs(pulses.filter(~first), path)
+    writers.write_pulse_runs(pulses.filter(first), path, "append")
     newest = readers.latest_run(spark, path, schemas.PULSE)
     return newest.select("run_key", "start_date", "end_date", "note_markdown")
 
@@ -431,7 +435,7 @@ def q_merge_predictions(spark, sf):
 def q_enrich_join(spark, sf):
     """Every prediction with its clean review; predictions of dropped reviews get defaults."""
     answers = views.predictions(spark, sf).select(KEY, "review_theme", "confidence")
-    return classify.enrich_join(answers, views.reviews_clean(spark, sf), KEY)
+    return classify.enrich_join(answers, views.reviews_clean(spark, sf), KEY, unique=True)
 
 
 @query
@@ -445,6 +449,14 @@ def q_compare_outputs(spark, sf):
     return compare.compare_outputs(newer.select(*CLEAN_OUT), older.select(*CLEAN_OUT))
 
 
+@query
+def q_compare_columns(spark, sf):
+    """The clean layer against a copy that lacks a column, has one too many, and keeps stars as text."""
+    table = _written_clean(spark, sf).select(*CLEAN_OUT)
+    other = table.drop("title").withColumn("rating", F.col("rating").cast("string")).withColumn("more", F.lit(1))
+    return compare.compare_outputs(table, other, columns=["date", "title", "text", "clean_text", "source"])
+
+
 # --- classification ---------------------------------------------------------------------------
 
 
@@ -470,13 +482,21 @@ def q_build_prompt(spark, sf):
     return scoring.build_prompts(scoring.batch_reviews(_written_clean(spark, sf)))
 
 
+#: Prompts that a worker's stub has been asked before.
+_ASKED: set[str] = set()
+
+
 def _stub_model(prompt: str) -> str:
-    """Stands in for a model: judges by the prompt's length, now and then answers badly or late."""
+    """Stands in for a model: judges by the prompt's length. Every fifth length is never answered; of the rest every
+    third is answered badly the first time it is asked, and well the second."""
     import json
 
     items = json.loads(prompt[prompt.index("["):])
     if len(prompt) % 5 == 0:
         return "no idea"
+    if len(prompt) % 3 == 0 and prompt not in _ASKED:
+        _ASKED.add(prompt)
+        return "[{ wait"
     names = list(config.THEME_KEYWORDS)
     answer = [
         {
@@ -493,7 +513,7 @@ def _stub_model(prompt: str) -> str:
 def q_score_batches(spark, sf):
     ship_packages(spark)
     prompts = scoring.build_prompts(scoring.batch_reviews(_written_clean(spark, sf)))
-    scored = scoring.score_batches(prompts, _stub_model, concurrency=8)
+    scored = scoring.score_batches(prompts, _stub_model)
     return scored.select("batch_id", "n_reviews", F.col("response").isNotNull().alias("answered"))
 
 
@@ -502,7 +522,7 @@ def q_score_retry(spark, sf):
     """Reviews left to the keywords because their batch failed for good."""
     ship_packages(spark)
     table = _written_clean(spark, sf)
-    predicted = scoring.score_reviews(table, _stub_model, concurrency=8)
+    predicted = scoring.score_reviews(table, _stub_model)
     classified = classify.classify_reviews(table, predicted)
     return classified.groupBy("fallback_applied").agg(F.count(F.lit(1)).alias("n"))
 
@@ -565,7 +585,16 @@ def _summaries(spark, sf):
 
 
 def _pulses(spark, sf):
-    return insight.generate_pulse(_written_classified(spark, sf), WEEK, layer=materialize)
+    table = _written_classified(spark, sf)
+    return insight.generate_pulse(table, WEEK, layer=materialize, actions=_week_actions(table))
+
+
+def _week_actions(table: DataFrame) -> DataFrame:
+    """An action for each of the week's largest themes, in their order, as a user's model might return them."""
+    top = insight.top_themes(table, period=WEEK)
+    idea = F.struct("theme_rank", F.concat(F.lit("Look into "), "theme").alias("idea"))
+    ideas = F.transform(F.sort_array(F.collect_list(idea)), lambda x: x["idea"])
+    return top.groupBy(*WEEK).agg(ideas.alias("action_ideas"))
 
 
 def _flat_summary(table: DataFrame) -> DataFrame:
@@ -618,7 +647,7 @@ def _stub_summary(prompt: str) -> str:
 def q_parse_object_response(spark, sf):
     ship_packages(spark)
     texts = insight.chunk_text(insight.chunk_reviews(_written_classified(spark, sf)))
-    results = insight.summarize_chunks(texts, _stub_summary, concurrency=8)
+    results = insight.summarize_chunks(texts, _stub_summary)
     return results.select(
         "theme", "chunk_id", _joined("key_points").alias("key_points"), _joined("candidate_quotes").alias("quotes")
     )
@@ -721,9 +750,30 @@ def _model_checks(spark, sf, *names):
     return quality.count_bad(_model_rows(spark, sf), {n: checks[n] for n in names})
 
 
-QUERIES["dq_required_fields"] = lambda spark, sf: _row_checks(spark, sf, "required_fields").withColumn(
-    "layer", F.lit("clean")
-).unionByName(_model_checks(spark, sf, "required_fields").withColumn("layer", F.lit("classified")))
+
+
+def _required(clean_layer: DataFrame, classified: DataFrame) -> DataFrame:
+    rows = quality.required_fields(
+        clean_layer, schemas.REVIEWS_CLEAN, CLEAN_OUT, quality.clean_checks()["required_fields"]
+    ).withColumn("layer", F.lit("clean"))
+    return rows.unionByName(quality.required_fields(
+        classified, schemas.REVIEWS_CLASSIFIED, quality.CLASSIFIED_REQUIRED, quality.classified_checks()["required_fields"]
+    ).withColumn("layer", F.lit("classified")))
+
+
+@query
+def q_dq_required_fields(spark, sf):
+    return _required(views.reviews_unchecked(spark, sf), _model_rows(spark, sf))
+
+
+@query
+def q_dq_absent_columns(spark, sf):
+    """The same over tables of which one lacks a column and the other has one too many."""
+    return _required(
+        views.reviews_unchecked(spark, sf).drop("relevance"), _model_rows(spark, sf).drop("rating").withColumn("more", F.lit(1))
+    )
+
+
 QUERIES["dq_rating_source"] = lambda spark, sf: _row_checks(spark, sf, "rating_range", "source_constant")
 QUERIES["dq_dates"] = lambda spark, sf: _row_checks(spark, sf, "dates_valid", "week_span", "date_in_week")
 QUERIES["dq_text"] = lambda spark, sf: _row_checks(
@@ -769,7 +819,7 @@ def q_dq_suite(spark, sf):
 
 def _landed_stream(spark, sf):
     docs = incremental.stream_files(
-        spark, sf, spark.read.schema(views.DOCUMENTS).parquet(f"{sf}/documents.parquet").schema, "documents.parquet"
+        spark, f"{sf}/documents.parquet", spark.read.schema(views.DOCUMENTS).parquet(f"{sf}/documents.parquet").schema
     )
     return clean.normalize_reviews(views.as_reviews(docs), FIRST_DAY, AS_OF)
 
@@ -804,7 +854,7 @@ def q_stream_dedup(spark, sf):
 def q_stream_weekly_counts(spark, sf):
     path = scratch_path(spark, "stream-weeks")
     schema = views.events(spark, sf).schema
-    stream = incremental.stream_files(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = incremental.stream_files(spark, f"{sf}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     incremental.run_weekly_counts(
         stream, "event_type", path, scratch_path(spark, "stream-weeks-checkpoint")
     ).awaitTermination()
@@ -815,7 +865,11 @@ def q_stream_weekly_counts(spark, sf):
 
 
 def _flat_runs(table: DataFrame) -> DataFrame:
-    return table.select("run_id", "status", "failed_stage", "n_stages", "run_start", "run_end", "seconds")
+    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias(c)
+    return table.select(
+        "run_id", "status", "failed_stage", "n_stages", "run_start", "run_end", "seconds", flat("outputs"), flat("details"),
+        "window_start", "window_end",
+    )
 
 
 @query
@@ -826,6 +880,6 @@ def q_run_summary(spark, sf):
 @query
 def q_weekly_pulse(spark, sf):
     pulses = weekly.weekly_pulse(
-        views.reviews_raw(spark, sf), views.predictions(spark, sf), AS_OF, WINDOW_DAYS
+        views.reviews_raw(spark, sf), views.predictions(spark, sf), AS_OF, WINDOW_DAYS, actions=_week_actions
     )
     return _flat_pulse(pulses)
