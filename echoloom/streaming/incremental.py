@@ -78,6 +78,15 @@ def read_deduplicated(spark: SparkSession, path: str, schema: T.StructType) -> D
     return earliest.select(*schema.fieldNames())
 
 
+def compact(spark: SparkSession, path: str, schema: T.StructType, into: str) -> None:
+    """Write the deduplicated batches of ``path`` as the first batch of a table at ``into``.
+
+    Later runs append there, so a read no longer aggregates all that ever landed, only one row per text and what
+    has come since. The old batches stay until their owner deletes them.
+    """
+    read_deduplicated(spark, path, schema).write.parquet(f"{into}/{BATCH}=-1")
+
+
 def drop_repeats(events: DataFrame, keys: Sequence[str], event_time: str = "ts", lateness: str = LATENESS) -> DataFrame:
     """Keep the first arrival of each key while its state lasts; state ends with the watermark."""
     return events.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(list(keys))

@@ -487,6 +487,7 @@ CHUNK_TEXTS = (
 STATEMENTS = {
     # sources and sinks
     "scan_reviews": 'SELECT * FROM reviews_raw ORDER BY "at" DESC, source_review_id',
+    "read_landed_json": "SELECT * REPLACE (CAST(source_review_id AS VARCHAR) AS source_review_id) FROM normalized",
     "read_records_json": f"SELECT {TEN} FROM clean",
     "read_pulse_json": "SELECT * FROM week_flat",
     "read_reviews_csv": "SELECT rating, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS text_chars, "
@@ -665,6 +666,8 @@ STATEMENTS = {
     # streams
     "incremental_clean": "SELECT source_review_id, date, rating, text, clean_text, n_words, copies FROM ranked "
                          "WHERE rn = 1 AND n_words >= 10",
+    "stream_compact": "SELECT source_review_id, date, clean_text, 2 * copies AS copies FROM ranked "
+                      "WHERE rn = 1 AND n_words >= 10",
     "stream_dedup": "SELECT source_review_id, date, clean_text, 2 * copies AS copies FROM ranked "
                     "WHERE rn = 1 AND n_words >= 10",
     "stream_weekly_counts": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start_date, "

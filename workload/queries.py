@@ -58,6 +58,18 @@ def q_scan_reviews(spark, sf):
     return clean.latest_reviews(readers.read_reviews(spark, path))
 
 
+@query
+def q_read_landed_json(spark, sf):
+    """Raw reviews as a store exports them: its own names, times as text."""
+    path = scratch_path(spark, "landed-json")
+    views.reviews_raw(spark, sf).select(
+        F.col(KEY).alias("reviewId"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), "score",
+        F.col("thumbs_up").alias("thumbsUpCount"), F.col("review_title").alias("reviewTitle"), "title",
+        F.col("review_text").alias("reviewText"), "text", "content",
+    ).write.json(path)
+    return clean.normalize_reviews(readers.read_landed_json(spark, path), FIRST_DAY, AS_OF)
+
+
 @query
 def q_read_records_json(spark, sf):
     path = scratch_path(spark, "records-json")
@@ -850,6 +862,21 @@ def q_stream_dedup(spark, sf):
     return stored.select(KEY, "date", "clean_text", "copies")
 
 
+@query
+def q_stream_compact(spark, sf):
+    """A run, a compaction, and a second run over the same files that appends to the compacted table."""
+    path, into = scratch_path(spark, "stream-runs"), scratch_path(spark, "stream-compact")
+    schema = _stream_clean_schema(spark, sf)
+    incremental.incremental_clean(
+        _landed_stream(spark, sf), path, scratch_path(spark, "stream-compact-first")
+    ).awaitTermination()
+    incremental.compact(spark, path, schema, into)
+    incremental.incremental_clean(
+        _landed_stream(spark, sf), into, scratch_path(spark, "stream-compact-second")
+    ).awaitTermination()
+    return incremental.read_deduplicated(spark, into, schema).select(KEY, "date", "clean_text", "copies")
+
+
 @query
 def q_stream_weekly_counts(spark, sf):
     path = scratch_path(spark, "stream-weeks")
