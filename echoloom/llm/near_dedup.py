@@ -6,12 +6,16 @@ similarity of their sets is 0.75 or more; a component of links is one group, nam
 1. One pass over the texts makes per document the size and a 128-bit digest of its set, ``BANDS`` band keys of ``ROWS`` MinHash
    samples each, and an odd sketch: all samples folded into a bitmap by parity.
 2. Documents with equal sets form a class; only the smallest id of a class goes on. Copies never meet in pairs.
-3. Documents with a band key in common are candidates. First each is paired with the smallest of its bucket only.
+3. Documents with a band key in common are candidates. First each is paired with one centre of its bucket only, another
+   one in every band, so each meets many centres and a large group of near copies grows together without its pairs.
    The population count of the XOR of two sketches estimates how many samples differ, precisely at high similarity; pairs
    that cannot reach the threshold end here. The rest are confirmed on their full sets.
 4. Candidates that are still in different components are then paired as well, under the sketch test within the join, so no link
-   is lost to the choice of the smallest. Buckets of more than ``LARGE_BUCKET`` documents, such as those of a line that very many
-   documents share, are first split by a second band key that both must have in common.
+   is lost to the choice of centres. Buckets with more than ``CROWDED`` such pairs per document, as a line that very many
+   documents share makes them, are first split by a second band key that both must have in common.
+
+All joins whose sides grow with the table are merge joins, at every size, so a small run shows the plan of a large one; adaptive
+execution splits what is skewed.
 
 With 48 bands of 5 samples a pair at the threshold is missed with a probability of 2.3e-6 (in large buckets 4e-5), a pair at 0.85
 with 5e-13. The sketch test lies six standard deviations beyond the threshold. Nothing is capped.
@@ -38,7 +42,7 @@ PERCENT = 75
 BANDS, ROWS = 48, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
-LARGE_BUCKET = 200
+CROWDED = 100
 NO_ID = 2**63 - 1
 
 SIGNATURE = "n_shingles long, digest_sum long, digest_xor long, bands array<long>, sketch array<long>"
@@ -138,61 +142,68 @@ def _close_sketches(a: str, b: str):
     return F.expr(differing) <= sketch_bound()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+def _merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    return left.join(right.hint("merge"), on, how)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    pairs = written(pairs, label)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select("id", "text").join(wanted, "id", "left_semi")
-    sets = annotated(texts, _set_column, "items array<long>", carry=["id"]).select("doc.id", "items")
-    sets = written(sets.dropDuplicates(["id"]), label)
     left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("items").alias("set_b"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     reached = shared * 100 >= (F.size("set_a") + F.size("set_b") - shared) * PERCENT
-    return written(pairs.join(right, "b").join(left, "a").filter(reached).select("a", "b"), label)
+    return written(_merge(_merge(pairs, right, "b"), left, "a").filter(reached).select("a", "b"), label)
 
 
-def near_duplicates(docs: DataFrame, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text)."""
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
     made = written(annotated(source, _signature_columns, SIGNATURE, carry=["id"]).select("doc.id", F.expr("* EXCEPT (doc)")), "near-signatures")
     digest = ["n_shingles", "digest_sum", "digest_xor"]
     classes = written(made.filter("n_shingles > 0").groupBy(*digest).agg(F.min("id").alias("first")), "near-classes")
-    heads = made.join(classes.withColumnRenamed("first", "id"), [*digest, "id"]).select("id", "n_shingles", "bands", "sketch")
+    heads = _merge(made, classes.withColumnRenamed("first", "id"), [*digest, "id"]).select("id", "n_shingles", "bands", "sketch")
     heads = written(heads.dropDuplicates(["id"]), "near-heads")
 
+    # Band keys look random, so the smallest id under XOR with the key is another document in every band; XOR gives it back.
     placed = heads.select("id", F.explode("bands").alias("band"))
-    buckets = placed.groupBy("band").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    placed = written(placed.join(written(buckets, "near-buckets"), "band"), "near-placed")
-    facts = heads.select("id", "n_shingles", "sketch")
+    other = F.col("id").bitwiseXOR(F.col("band"))
+    buckets = placed.groupBy("band").agg(F.min(other).alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = written(buckets.select("band", F.col("centre").bitwiseXOR(F.col("band")).alias("centre")), "near-buckets")
+    placed = written(_merge(placed, buckets, "band"), "near-placed")
+    wanted = written(placed.select("id").distinct(), "near-wanted")
+    texts = _merge(source, wanted, "id", "left_semi")
+    sets = written(annotated(texts, _set_column, "items array<long>", carry=["id"]).select("doc.id", "items").dropDuplicates(["id"]), "near-sets")
+    facts = written(_merge(heads.select("id", "n_shingles", "sketch"), wanted, "id"), "near-facts")
 
     def of(side: str) -> DataFrame:
         return facts.select(F.col("id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
 
-    first = placed.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    first = first.join(of("b"), "b").join(of("a"), "a").filter(_similar_sizes("n_a", "n_b")).filter(_close_sketches("sketch_a", "sketch_b"))
-    links = _confirmed(first.select("a", "b"), source, "near-first")
+    first = placed.filter("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    first = _merge(_merge(first, of("b"), "b"), of("a"), "a").filter(_similar_sizes("n_a", "n_b")).filter(_close_sketches("sketch_a", "sketch_b"))
+    links = _confirmed(first.select("a", "b"), sets, "near-first")
     joined = connected_components(links)
 
-    # Buckets whose documents are not all of one component yet.
-    spread = placed.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spread = written(spread.select("band", "n", "id", "component"), "near-spread")
-    mixed = spread.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("band")
-    apart = spread.join(mixed, "band").select("band", "n", "id", "component")
-    large = apart.filter(F.col("n") > large_bucket)
-    finer = large.join(heads.select("id", F.explode("bands").alias("other")), "id").filter("band != other").select(
+    # Buckets whose documents are not all of one component yet; pairs: those of different components in a bucket.
+    spread = _merge(placed.select("band", "id"), joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spread = written(spread, "near-spread")
+    crowds = spread.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(
+        F.sum("n").alias("n"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
+    )
+    mixed = written(crowds.filter("pairs > 0").select("band", (F.col("pairs") > F.col("n") * crowded).alias("dense")), "near-mixed")
+    apart = written(_merge(spread, mixed, "band"), "near-apart")
+    finer = _merge(apart.filter("dense"), heads.select("id", F.explode("bands").alias("other")), "id").filter("band != other").select(
         F.xxhash64("band", "other").alias("band"), "id", "component"
     )
-    cells = apart.filter(F.col("n") <= large_bucket).select("band", "id", "component").unionByName(finer).join(facts, "id")
-    cells = written(cells, "near-cells")
+    cells = written(_merge(apart.filter("NOT dense").select("band", "id", "component").unionByName(finer), facts, "id"), "near-cells")
     one = cells.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    two = cells.select("band", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    second = one.join(two, (one["band"] == two["band"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_sizes("n_a", "n_b") & _close_sketches("sketch_a", "sketch_b"))
-    more = _confirmed(second.select("a", "b").distinct(), source, "near-second")
+    two = cells.select(F.col("band").alias("band_b"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    apart_pair = (F.col("band") == F.col("band_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    second = _merge(one, two, apart_pair & _similar_sizes("n_a", "n_b") & _close_sketches("sketch_a", "sketch_b")).select("a", "b").distinct()
+    more = _confirmed(written(second, "near-pairs"), sets, "near-second")
     final = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    named = classes.join(final.withColumnRenamed("node", "first"), "first", "left").select(*digest, F.coalesce("component", "first").alias("component_id"))
+    named = _merge(classes, final.withColumnRenamed("node", "first"), "first", "left").select(*digest, F.coalesce("component", "first").alias("component_id"))
     real = lambda name: F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
-    result = made.join(named, digest, "left").select(
+    result = _merge(made.select("id", *digest), named, digest, "left").select(
         F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id")
     )
     return result.select(real("doc_id"), "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
