@@ -9,7 +9,8 @@ similarity of their sets is 0.75 or more; a component of links is one group, nam
 3. Documents with a band key in common are candidates. First each is paired with one centre of its bucket only, another
    one in every band, so each meets many centres and a large group of near copies grows together without its pairs.
    The population count of the XOR of two sketches estimates how many samples differ, precisely at high similarity; pairs
-   that cannot reach the threshold end here. The rest are confirmed on their full sets.
+   that cannot reach the threshold end here. So do those whose parity bitmaps of the whole sets differ in more bits than sets
+   of their sizes may differ in elements, which loses nothing. The rest are confirmed on their full sets.
 4. Candidates that are still in different components are then paired as well, under the sketch test within the join, so no link
    is lost to the choice of centres. Buckets with more than ``CROWDED`` such pairs per document, as a line that very many
    documents share makes them, are first split by a second band key that both must have in common.
@@ -30,7 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoloom.llm import words as W
@@ -42,8 +43,12 @@ PERCENT = 75
 BANDS, ROWS = 48, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
+#: Bits of the parity bitmap of a whole set.
+SET_BITS = 2048
 CROWDED = 100
 NO_ID = 2**63 - 1
+#: What is compared of two documents, and the short names of these columns on either side.
+FACTS = (("n_shingles", "n"), ("sketch", "sketch"), ("parity", "parity"))
 
 SIGNATURE = "n_shingles long, digest_sum long, digest_xor long, bands array<long>, sketch array<long>"
 
@@ -130,16 +135,34 @@ def _set_column(texts: pa.Array) -> list[pa.Array]:
     sets = [s.view(np.int64) for part in W.slices(texts) for s in shingle_sets(part)]
     ends = np.cumsum([0, *map(len, sets)])
     flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), _lists(set_parities(sets))]
+
+
+def set_parities(sets: list[np.ndarray], at_once: int = 256) -> np.ndarray:
+    """The parity bitmap of each whole set: a bit counts its elements modulo 2."""
+    out = np.zeros((len(sets), SET_BITS // 64), np.uint64)
+    for first in range(0, len(sets), at_once):
+        some = sets[first : first + at_once]
+        place = np.concatenate([(W.mixed(s.view(np.uint64)) >> np.uint64(20)) % np.uint64(SET_BITS) for s in some]).astype(np.int64)
+        owner = np.repeat(np.arange(len(some)), [len(s) for s in some])
+        odd = np.bincount(owner * SET_BITS + place, minlength=len(some) * SET_BITS).astype(np.uint8) & 1
+        out[first : first + len(some)] = np.packbits(odd.reshape(len(some), SET_BITS), axis=1).view(np.uint64)
+    return out
+
 
+def _differing(a: str, b: str):
+    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
 
-def _similar_sizes(a: str, b: str):
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
 
+def _close() -> Column:
+    """Whether a and b may reach the threshold, by their sizes, their sketches and the parities of their sets.
 
-def _close_sketches(a: str, b: str):
-    differing = f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    return F.expr(differing) <= sketch_bound()
+    The bitmaps of two sets differ in no more bits than the sets do in elements, and at a similarity of p % the sets differ in at
+    most (100 - p) / (100 + p) of the sum of their sizes.
+    """
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    whole = _differing("parity_a", "parity_b") * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
+    return sizes & (_differing("sketch_a", "sketch_b") <= sketch_bound()) & whole
 
 
 def _merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -171,14 +194,14 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     placed = written(_merge(placed, buckets, "band"), "near-placed")
     wanted = written(placed.select("id").distinct(), "near-wanted")
     texts = _merge(source, wanted, "id", "left_semi")
-    sets = written(annotated(texts, _set_column, "items array<long>", carry=["id"]).select("doc.id", "items").dropDuplicates(["id"]), "near-sets")
-    facts = written(_merge(heads.select("id", "n_shingles", "sketch"), wanted, "id"), "near-facts")
+    sets = written(annotated(texts, _set_column, "items array<long>, parity array<long>", carry=["id"]).select("doc.id", "items", "parity").dropDuplicates(["id"]), "near-sets")
+    facts = written(_merge(heads.select("id", "n_shingles", "sketch"), sets.select("id", "parity"), "id"), "near-facts")
 
     def of(side: str) -> DataFrame:
-        return facts.select(F.col("id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        return facts.select(F.col("id").alias(side), *[F.col(old).alias(f"{new}_{side}") for old, new in FACTS])
 
     first = placed.filter("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    first = _merge(_merge(first, of("b"), "b"), of("a"), "a").filter(_similar_sizes("n_a", "n_b")).filter(_close_sketches("sketch_a", "sketch_b"))
+    first = _merge(_merge(first, of("b"), "b"), of("a"), "a").filter(_close())
     links = _confirmed(first.select("a", "b"), sets, "near-first")
     joined = connected_components(links)
 
@@ -194,10 +217,10 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
         F.xxhash64("band", "other").alias("band"), "id", "component"
     )
     cells = written(_merge(apart.filter("NOT dense").select("band", "id", "component").unionByName(finer), facts, "id"), "near-cells")
-    one = cells.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    two = cells.select(F.col("band").alias("band_b"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    one = cells.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), *[F.col(old).alias(f"{new}_a") for old, new in FACTS])
+    two = cells.select(F.col("band").alias("band_b"), F.col("id").alias("b"), F.col("component").alias("cb"), *[F.col(old).alias(f"{new}_b") for old, new in FACTS])
     apart_pair = (F.col("band") == F.col("band_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    second = _merge(one, two, apart_pair & _similar_sizes("n_a", "n_b") & _close_sketches("sketch_a", "sketch_b")).select("a", "b").distinct()
+    second = _merge(one, two, apart_pair & _close()).select("a", "b").distinct()
     more = _confirmed(written(second, "near-pairs"), sets, "near-second")
     final = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
