@@ -12,8 +12,8 @@ similarity of their sets is 0.75 or more; a component of links is one group, nam
    that cannot reach the threshold end here. So do those whose parity bitmaps of the whole sets differ in more bits than sets
    of their sizes may differ in elements, which loses nothing. The rest are confirmed on their full sets.
 4. Candidates that are still in different components are then paired as well, under the sketch test within the join, so no link
-   is lost to the choice of centres. Buckets with more than ``CROWDED`` such pairs per document, as a line that very many
-   documents share makes them, are first split by a second band key that both must have in common.
+   is lost to the choice of centres. Such a comparison takes microseconds and emits nothing. Buckets with more than ``CROWDED`` of them
+   per document, as a line that very many documents share can make them, are first split by a second band key in common.
 
 All joins whose sides grow with the table are merge joins, at every size, so a small run shows the plan of a large one; adaptive
 execution splits what is skewed.
@@ -45,7 +45,7 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 #: Bits of the parity bitmap of a whole set.
 SET_BITS = 2048
-CROWDED = 100
+CROWDED = 1000
 NO_ID = 2**63 - 1
 #: What is compared of two documents, and the short names of these columns on either side.
 FACTS = (("n_shingles", "n"), ("sketch", "sketch"), ("parity", "parity"))
@@ -213,7 +213,9 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     )
     mixed = written(crowds.filter("pairs > 0").select("band", (F.col("pairs") > F.col("n") * crowded).alias("dense")), "near-mixed")
     apart = written(_merge(spread, mixed, "band"), "near-apart")
-    finer = _merge(apart.filter("dense"), heads.select("id", F.explode("bands").alias("other")), "id").filter("band != other").select(
+    # A pair that also shares a bucket that is not crowded is found there, so a second band is looked for among crowded ones only.
+    dense = apart.filter("dense").select("band", "id", "component")
+    finer = _merge(dense, dense.select(F.col("band").alias("other"), "id"), "id").filter("band < other").select(
         F.xxhash64("band", "other").alias("band"), "id", "component"
     )
     cells = written(_merge(apart.filter("NOT dense").select("band", "id", "component").unionByName(finer), facts, "id"), "near-cells")
