@@ -27,6 +27,8 @@ from echoloom.llm.common import whole_text, written
 
 #: Leading hash bits that the directory may use: at most 2**16 slots.
 MAX_DEPTH = 16
+#: Shares into which the rows of one group are dealt.
+SALTS = 32
 #: Stands for a null id, so that it sorts last and equals itself.
 NO_ID = 2**63 - 1
 
@@ -105,10 +107,12 @@ def exact_dedup(docs: DataFrame, bucket_keys: int = 100_000, key=F.xxhash64) ->
             break
         several = open_rows.groupBy("key").agg(F.min("doc_id").alias("head"))
         chain += 1
-    sizes = members.groupBy("key", "chain").agg(F.count(F.lit(1)).alias("group_size"))
-    repeated = members.join(sizes, ["key", "chain"]).select("doc_id", F.col("head").alias("keep_id"), "group_size", "text_sha256", "chain")
-    alone = index.filter("n_rows = 1").select("key")
-    single = rows.join(alone, "key", "left_semi").select(
+    # A hot group has very many members: they meet its size spread over salts. A lone row is found by key and id, not key alone.
+    sizes = members.groupBy("key", "chain").agg(F.count(F.lit(1)).alias("group_size")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    repeated = salted.join(sizes.hint("merge"), ["key", "chain", "salt"]).select("doc_id", F.col("head").alias("keep_id"), "group_size", "text_sha256", "chain")
+    alone = index.filter("n_rows = 1").select("key", F.col("head").alias("doc_id"))
+    single = rows.join(alone.hint("merge"), ["key", "doc_id"], "left_semi").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256", F.lit(0).alias("chain")
     )
     real = lambda name: F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
