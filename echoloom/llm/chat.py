@@ -21,6 +21,7 @@ Trees need a name that is not null, nodes one that is unique in their tree. Equa
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -53,20 +54,24 @@ def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     )
     state = written(rooted, "chat-step")
     limit = state.count()
+    above_root, done = F.col("up").isNotNull(), [state.filter("up IS NULL")]
+    climbing = state.filter(above_root)
     steps = []
     reach = 1
-    while reach <= limit and not state.filter("up IS NOT NULL").isEmpty():
-        steps.append(state.select("tree", "node", "up").filter("up IS NOT NULL"))
-        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("plus"))
-        state = written(
-            state.join(above, ["tree", "up"], "left").select(
-                "tree", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"),
-            ),
-            "chat-step",
+    # Only nodes that have not reached their root take part in the next step.
+    while reach <= limit and not climbing.isEmpty():
+        steps.append(climbing.select("tree", "node", "up"))
+        known = reduce(DataFrame.unionByName, done, climbing)
+        above = known.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("plus"))
+        moved = climbing.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("plus")).alias("total")
         )
+        moved = written(moved, "chat-step")
+        done.append(moved.filter("up IS NULL"))
+        climbing = moved.filter(above_root)
         reach *= 2
-    return steps, state.select("tree", "node", "depth", "total", F.col("up").isNotNull().alias("open"))
+    totals = reduce(DataFrame.unionByName, done, climbing)
+    return steps, totals.select("tree", "node", "depth", "total", above_root.alias("open"))
 
 
 def chosen_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
