@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, StringType
 
 from echoloom.session import scratch_path
 
@@ -46,14 +46,17 @@ def annotated(docs: DataFrame, work, results: str, carry: list[str] | None = Non
     ``carry`` names the columns inside ``doc`` (default: all), so that a scan reads no others.
     """
     names = docs.columns if carry is None else carry
-    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    doc = F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc")
+    # A text that is carried along is not sent twice.
+    inside = names.index(text) if text in names and docs.schema[text].dataType == StringType() else None
+    packed = docs.select(doc) if inside is not None else docs.select(doc, F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            made = [batch.column(0), *work(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(made, names=out_names)
+            texts = batch.column(1) if inside is None else batch.column(0).field(inside)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *work(texts)], names=out_names)
 
     fields = packed.select("doc").schema
     for field in DataType.fromDDL(results).fields:

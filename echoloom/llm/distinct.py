@@ -15,9 +15,9 @@ REMEMBERED = 1_000_000
 class PieceIds:
     """Remembers the ids of distinct pieces. Pieces are told apart by a 64-bit hash that includes their length."""
 
-    def __init__(self, encode_many):
+    def __init__(self, encode_many, remembered: int = REMEMBERED):
         """``encode_many``: list of pieces to list of id lists."""
-        self.encode_many = encode_many
+        self.encode_many, self.remembered = encode_many, remembered
         self._forget()
 
     def _forget(self) -> None:
@@ -38,7 +38,7 @@ class PieceIds:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)])))
         h = W.mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         distinct, where, number = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self._forget()
         keys = distinct.tolist()
         new = [i for i, key in enumerate(keys) if key not in self.known]

@@ -39,6 +39,8 @@ LEARNED = 300
 LEAST_TEXTS, LEAST_RATIO = 4, 10
 TRAIN_ROWS = 30_000
 NEAR_WORDS = 5
+#: Features take about twenty arrays as long as a slice.
+SLICE_BYTES = 1 << 18
 THRESHOLD = 0.3
 
 FEATURES = (
@@ -124,7 +126,7 @@ def with_features(docs: DataFrame, lexicon: Lexicon, carry: list[str] | None = N
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def work(texts: pa.Array):
-        parts = [features(part, shared.value) for part in W.slices(texts)]
+        parts = [features(part, shared.value) for part in W.slices(texts, SLICE_BYTES)]
         rows = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
         ends = pa.array(np.arange(len(rows) + 1) * len(FEATURES), pa.int32())
         return [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(rows).ravel()))]
