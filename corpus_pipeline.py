@@ -1,8 +1,8 @@
 """The training-data pipeline: documents through five stages, each written and read again as the next one's input.
 
 Toxic documents go; of equal texts one stays; of each group of near copies one stays; documents with a passage of the benchmark
-go; what is left is encoded. The first four return the columns they got. Rows are found again by id and content, null ids
-included; columns beyond those of ``documents`` are kept as they are.
+go; what is left is encoded. The first four return the columns they got. Exact copies are found again by id and content, near copies
+by a number of the row, null ids included; columns beyond those of ``documents`` are kept as they are.
 """
 
 from __future__ import annotations
@@ -34,10 +34,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """The document with the smallest id of each group of near copies (one of them where ids are equal too)."""
     ship_packages(spark)
-    chosen = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(chosen.hint("merge"), docs["doc_id"].eqNullSafe(chosen["kept_id"]), "left_semi")
+    return near_dedup.remove_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ similarity of their sets is 0.75 or more; a component of links is one group, nam
 
 1. One pass over the texts makes per document the size and a 128-bit digest of its set, ``BANDS`` band keys of ``ROWS`` MinHash
    samples each, and an odd sketch: all samples folded into a bitmap by parity.
-2. Documents with equal sets form a class; only the smallest id of a class goes on. Copies never meet in pairs.
+2. Documents with equal sets form a class; only its row with the smallest (id, row number) goes on. Copies never meet in pairs.
 3. Documents with a band key in common are candidates. First each is paired with one centre of its bucket only, another
    one in every band, so each meets many centres and a large group of near copies grows together without its pairs.
    The population count of the XOR of two sketches estimates how many samples differ, precisely at high similarity; pairs
@@ -21,8 +21,9 @@ execution splits what is skewed.
 With 48 bands of 5 samples a pair at the threshold is missed with a probability of 2.3e-6 (in large buckets 4e-5), a pair at 0.85
 with 5e-13. The sketch test lies six standard deviations beyond the threshold. Nothing is capped.
 
-A null or empty text, or one without words, has an empty set and is linked with nothing; a null id is the largest one. Rows that
-share an id are one document for the links. Every row of the input is a row of the result.
+A null or empty text, or one without words, has an empty set and is linked with nothing; a null id is the largest one. Each row
+is a document with a number of its own, so rows that share an id, or have none, are told apart. One row of each group is kept, the
+first by (id, row number). Every row of the input is a row of the result.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ SKETCH_BITS = 1024
 #: Bits of the parity bitmap of a whole set.
 SET_BITS = 2048
 CROWDED = 1000
-NO_ID = 2**63 - 1
+#: Shares into which the classes of one component are dealt.
+SALTS = 32
 #: What is compared of two documents, and the short names of these columns on either side.
 FACTS = (("n_shingles", "n"), ("sketch", "sketch"), ("parity", "parity"))
 
@@ -171,7 +173,7 @@ def _merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFra
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("items").alias("set_b"))
+    left, right = sets.select(F.col("node").alias("a"), F.col("items").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("items").alias("set_b"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     reached = shared * 100 >= (F.size("set_a") + F.size("set_b") - shared) * PERCENT
     return written(_merge(_merge(pairs, right, "b"), left, "a").filter(reached).select("a", "b"), label)
@@ -179,34 +181,59 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text)."""
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    made = written(annotated(source, _signature_columns, SIGNATURE, carry=["id"]).select("doc.id", F.expr("* EXCEPT (doc)")), "near-signatures")
-    digest = ["n_shingles", "digest_sum", "digest_xor"]
-    classes = written(made.filter("n_shingles > 0").groupBy(*digest).agg(F.min("id").alias("first")), "near-classes")
-    heads = _merge(made, classes.withColumnRenamed("first", "id"), [*digest, "id"]).select("id", "n_shingles", "bands", "sketch")
-    heads = written(heads.dropDuplicates(["id"]), "near-heads")
+    numbered = written(docs.select(_row_number(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "near-rows")
+    return _grouped(numbered, crowded).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def remove_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near copies, whatever else its rows share."""
+    numbered = written(docs.select(_row_number(), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc")), "near-rows")
+    found = _grouped(numbered.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text")), CROWDED)
+    return _merge(numbered, found.filter("kept").select("row"), "row", "left_semi").select("doc.*")
+
+
+def _row_number() -> Column:
+    """A number of its own for each row; holds only once written."""
+    return F.monotonically_increasing_id().alias("row")
+
 
-    # Band keys look random, so the smallest id under XOR with the key is another document in every band; XOR gives it back.
-    placed = heads.select("id", F.explode("bands").alias("band"))
-    other = F.col("id").bitwiseXOR(F.col("band"))
+def _first(doc_id: str, row: str) -> Column:
+    """The smallest (id, row number) of a group; a null id is the largest."""
+    return F.min(F.struct(F.isnull(doc_id).alias("unnamed"), F.col(doc_id).alias("doc_id"), F.col(row).alias("row"))).alias("first")
+
+
+def _grouped(numbered: DataFrame, crowded: int) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept of the written table ``numbered`` (row, doc_id, text)."""
+    made = annotated(numbered, _signature_columns, SIGNATURE, carry=["row", "doc_id"])
+    made = written(made.select("doc.row", "doc.doc_id", F.expr("* EXCEPT (doc)")), "near-signatures")
+    digest = ["n_shingles", "digest_sum", "digest_xor"]
+    classes = made.filter("n_shingles > 0").groupBy(*digest).agg(_first("doc_id", "row"))
+    # A class is known by the number of its first row.
+    classes = written(classes.select(*digest, F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("node")), "near-classes")
+    heads = _merge(made.withColumnRenamed("row", "node"), classes.select("node"), "node").select("node", "n_shingles", "bands", "sketch")
+    heads = written(heads, "near-heads")
+
+    # Band keys look random, so the smallest node under XOR with the key is another document in every band; XOR gives it back.
+    placed = heads.select("node", F.explode("bands").alias("band"))
+    other = F.col("node").bitwiseXOR(F.col("band"))
     buckets = placed.groupBy("band").agg(F.min(other).alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = written(buckets.select("band", F.col("centre").bitwiseXOR(F.col("band")).alias("centre")), "near-buckets")
     placed = written(_merge(placed, buckets, "band"), "near-placed")
-    wanted = written(placed.select("id").distinct(), "near-wanted")
-    texts = _merge(source, wanted, "id", "left_semi")
-    sets = written(annotated(texts, _set_column, "items array<long>, parity array<long>", carry=["id"]).select("doc.id", "items", "parity").dropDuplicates(["id"]), "near-sets")
-    facts = written(_merge(heads.select("id", "n_shingles", "sketch"), sets.select("id", "parity"), "id"), "near-facts")
+    wanted = written(placed.select("node").distinct(), "near-wanted")
+    texts = _merge(numbered.select(F.col("row").alias("node"), "text"), wanted, "node", "left_semi")
+    sets = written(annotated(texts, _set_column, "items array<long>, parity array<long>", carry=["node"]).select("doc.node", "items", "parity"), "near-sets")
+    facts = written(_merge(heads.select("node", "n_shingles", "sketch"), sets.select("node", "parity"), "node"), "near-facts")
 
     def of(side: str) -> DataFrame:
-        return facts.select(F.col("id").alias(side), *[F.col(old).alias(f"{new}_{side}") for old, new in FACTS])
+        return facts.select(F.col("node").alias(side), *[F.col(old).alias(f"{new}_{side}") for old, new in FACTS])
 
-    first = placed.filter("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    first = placed.filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     first = _merge(_merge(first, of("b"), "b"), of("a"), "a").filter(_close())
     links = _confirmed(first.select("a", "b"), sets, "near-first")
     joined = connected_components(links)
 
     # Buckets whose documents are not all of one component yet; pairs: those of different components in a bucket.
-    spread = _merge(placed.select("band", "id"), joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spread = _merge(placed.select("band", "node"), joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spread = written(spread, "near-spread")
     crowds = spread.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(
         F.sum("n").alias("n"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
@@ -214,21 +241,31 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     mixed = written(crowds.filter("pairs > 0").select("band", (F.col("pairs") > F.col("n") * crowded).alias("dense")), "near-mixed")
     apart = written(_merge(spread, mixed, "band"), "near-apart")
     # A pair that also shares a bucket that is not crowded is found there, so a second band is looked for among crowded ones only.
-    dense = apart.filter("dense").select("band", "id", "component")
-    finer = _merge(dense, dense.select(F.col("band").alias("other"), "id"), "id").filter("band < other").select(
-        F.xxhash64("band", "other").alias("band"), "id", "component"
+    dense = apart.filter("dense").select("band", "node", "component")
+    finer = _merge(dense, dense.select(F.col("band").alias("other"), "node"), "node").filter("band < other").select(
+        F.xxhash64("band", "other").alias("band"), "node", "component"
     )
-    cells = written(_merge(apart.filter("NOT dense").select("band", "id", "component").unionByName(finer), facts, "id"), "near-cells")
-    one = cells.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), *[F.col(old).alias(f"{new}_a") for old, new in FACTS])
-    two = cells.select(F.col("band").alias("band_b"), F.col("id").alias("b"), F.col("component").alias("cb"), *[F.col(old).alias(f"{new}_b") for old, new in FACTS])
+    cells = written(_merge(apart.filter("NOT dense").select("band", "node", "component").unionByName(finer), facts, "node"), "near-cells")
+    one = cells.select("band", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(old).alias(f"{new}_a") for old, new in FACTS])
+    two = cells.select(F.col("band").alias("band_b"), F.col("node").alias("b"), F.col("component").alias("cb"), *[F.col(old).alias(f"{new}_b") for old, new in FACTS])
     apart_pair = (F.col("band") == F.col("band_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
     second = _merge(one, two, apart_pair & _close()).select("a", "b").distinct()
     more = _confirmed(written(second, "near-pairs"), sets, "near-second")
     final = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    named = _merge(classes, final.withColumnRenamed("node", "first"), "first", "left").select(*digest, F.coalesce("component", "first").alias("component_id"))
-    real = lambda name: F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
-    result = _merge(made.select("id", *digest), named, digest, "left").select(
-        F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id")
+    # A component is named by the first row of all its classes; very many classes of one component meet its name spread over salts.
+    linked = final.unionByName(final.select(F.col("component").alias("node"), "component").distinct())
+    linked = written(_merge(linked, classes.select("node", "first_id"), "node"), "near-linked")
+    names = linked.groupBy("component").agg(_first("first_id", "node")).select(
+        "component", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept_row"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    )
+    salted = linked.select("node", "component", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    given = _merge(salted, names, ["component", "salt"]).select("node", "component_id", "kept_row")
+    alone = F.col("kept_row").isNull()
+    named = _merge(classes, given, "node", "left").select(
+        *digest, F.when(alone, F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("kept_row", "node").alias("kept_row")
+    )
+    return _merge(made.select("row", "doc_id", *digest), named, digest, "left").select(
+        "row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce(F.col("row") == F.col("kept_row"), F.lit(True)).alias("kept"),
     )
-    return result.select(real("doc_id"), "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -192,6 +192,22 @@ def test_near_dedup_links_chains_and_crowds(spark):
     assert found[39] == (96, 0) and found[150][1] == 150
 
 
+def test_near_dedup_tells_rows_without_an_id_apart(spark):
+    """Several null ids and one id with two texts: each row keeps its own links, and one row of each group stays."""
+    texts = {name: " ".join(f"{name}{i}" for i in range(120)) for name in "abcdefg"}
+    rows = [
+        (3, texts["a"]), (None, texts["a"] + " x"), (None, texts["b"]), (None, texts["b"] + " x"), (None, texts["c"]), (None, None), (None, ""),
+        (7, texts["d"]), (7, texts["e"]), (9, texts["d"] + " x"), (8, texts["e"] + " x"), (5, texts["f"]), (5, texts["f"]), (6, texts["g"]),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = [(3, 3), (None, 3), (None, None), (None, None), (None, None), (None, None), (None, None), (7, 7), (7, 7), (9, 7), (8, 7), (5, 5), (5, 5), (6, 6)]
+    key = lambda r: [(x is None, x or 0) for x in r]
+    found = near_dedup.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in found), key=key) == sorted(expected, key=key)
+    left = sorted((r.text or "")[:1] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert left == ["", "", "a", "b", "c", "d", "e", "f", "g"] and sum(r.kept for r in found) == len(left)
+
+
 def test_decontamination(spark, odd, none, bench):
     rows = {r.doc_id: r for r in decontaminate.find_passages(odd, bench).select("doc.doc_id", F.col("spans").alias("at"), F.col("items").alias("found"), "n_words").collect()}
     assert (rows[3]["at"], rows[3].found, rows[7].found) == ([0, 16], ["a", "b", "e"], ["a", "b", "e"]) and rows[None].found == ["", "a", "b", "e"]
