@@ -7,7 +7,8 @@ the structure of a secret:
 * ``der``: base64 or hex of one ASN.1 sequence whose nested lengths all add up and whose first members are those of
   a private key (PKCS#1, PKCS#8 or SEC 1);
 * ``ssh``: base64 of an ``openssh-key-v1`` container whose length-prefixed fields all lie within it;
-* ``pem``: a private-key block whose body is one of the two above (or, where it says it is encrypted, PKCS#8 encrypted data).
+* ``pem``: a private-key block whose body is one of the two above (or, where it says it is encrypted, PKCS#8 encrypted data, or under
+  the headers of a classic encrypted key whole blocks of its cipher).
 
 Spans count code points, with exclusive ends, over the whole text. Null and empty texts have none. Matches of one kind never
 overlap; those of different kinds may, and all are reported. Every row stays one row.
@@ -44,7 +45,9 @@ _RULES = {
     # 0x30 begins a sequence: base64 M, then A to P.
     "der": re.compile(r"(?<![A-Za-z0-9+/_-])M[A-P][A-Za-z0-9+/_-]{30,}={0,2}"),
     "ssh": re.compile(r"(?<![A-Za-z0-9+/_-])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]+={0,2}"),
-    "pem": re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([^-]+)-----END \1PRIVATE KEY-----"),
+    # Headers hold hyphens, so the body runs to the next line of five.
+    "pem": re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:[^-]|-(?!----))+)-----END \1PRIVATE KEY-----"),
+    "der_hex": re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{22,}"),
 }
 SPANS = "spans array<struct<kind: string, start: bigint, end: bigint>>"
 
@@ -123,6 +126,20 @@ def is_openssh_key(data: bytes | None) -> bool:
     return 1 <= n_keys <= 64 and all(field() is not None for _ in range(n_keys)) and bool(field()) and at == len(data)
 
 
+#: Block length of the ciphers that classic encrypted keys name.
+_BLOCKS = {"DES-CBC": 8, "DES-EDE-CBC": 8, "DES-EDE3-CBC": 8, "IDEA-CBC": 8, "RC2-CBC": 8, "BF-CBC": 8, "CAST5-CBC": 8, "SEED-CBC": 16}
+_BLOCKS |= {f"{name}-{bits}-CBC": 16 for name in ("AES", "CAMELLIA", "ARIA") for bits in (128, 192, 256)}
+_ENCRYPTED = re.compile(r"^Proc-Type:[ \t]*4,[ \t]*ENCRYPTED[ \t]*$", re.MULTILINE)
+_CIPHER = re.compile(r"^DEK-Info:[ \t]*([A-Z0-9-]+),[ \t]*([0-9A-Fa-f]+)[ \t]*$", re.MULTILINE)
+
+
+def is_encrypted_key(headers: str, data: bytes | None) -> bool:
+    """Whole cipher blocks under headers that name the cipher and an initial vector of its block length."""
+    named = _CIPHER.search(headers)
+    block = _BLOCKS.get(named[1]) if named and _ENCRYPTED.search(headers) else None
+    return bool(block and data) and len(named[2]) == 2 * block and len(data) % block == 0
+
+
 def _object(part: str) -> dict | None:
     try:
         value = json.loads(_base64(part) or b"")
@@ -139,8 +156,11 @@ def _confirmed(kind: str, m: re.Match) -> bool:
         return is_private_key(_base64(m[0]))
     if kind == "ssh":
         return is_openssh_key(_base64(m[0]))
-    body = _base64("".join(x for x in m[2].splitlines() if ":" not in x).replace(" ", "").replace("\t", ""))
-    return is_private_key(body) or is_openssh_key(body) or m[1] == "ENCRYPTED " and is_private_key(body, encrypted=True)
+    lines = m[2].splitlines()
+    body = _base64("".join(x for x in lines if ":" not in x).replace(" ", "").replace("\t", ""))
+    if is_private_key(body) or is_openssh_key(body) or m[1] == "ENCRYPTED " and is_private_key(body, encrypted=True):
+        return True
+    return is_encrypted_key("\n".join(x for x in lines if ":" in x), body)
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
@@ -154,10 +174,14 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
             found += [(m.start(), "assign", m.end()) for m in _RULES["assign"].finditer(text) if len(m[2]) >= LEAST_VALUE]
     if "AKIA" in text:
         found += [(m.start(), "access", m.end()) for m in _RULES["access"].finditer(text)]
+    is_key = lambda m: m[0].startswith("30") and len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0]))
+    keys = [m.span() for m in _RULES["der_hex"].finditer(text) if is_key(m)] if "30" in text else []
     for m in _RULES["hex"].finditer(text):
         found.append((m.start(), "hex", m.end()))
-        if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
-            found.append((m.start(), "der", m.end()))
+        # A lower-case run may also begin within a longer one of both cases.
+        if is_key(m) and not any(a <= m.start() and m.end() <= b for a, b in keys):
+            keys.append(m.span())
+    found += [(a, "der", b) for a, b in keys]
     for kind, mark in (("jwt", "eyJ"), ("der", "M"), ("ssh", "b3BlbnNzaC1rZXktdjE"), ("pem", "-----BEGIN ")):
         if mark in text:
             found += [(m.start(), kind, m.end()) for m in _RULES[kind].finditer(text) if _confirmed(kind, m)]

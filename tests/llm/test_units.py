@@ -41,6 +41,26 @@ def test_structures_are_confirmed():
     assert "ssh" in kinds(base64.b64encode(ssh).decode()) and "ssh" not in kinds(base64.b64encode(ssh + b"x").decode())
 
 
+def test_classic_encrypted_blocks_and_hex_of_either_case():
+    body = base64.b64encode(bytes(range(64))).decode()
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: {},{}\n\n"
+
+    def block(header: str, data: str = body, kind: str = "RSA ", end: str = "\n") -> str:
+        return end.join(f"-----BEGIN {kind}PRIVATE KEY-----\n{header}{data}\n-----END {kind}PRIVATE KEY-----".split("\n"))
+
+    aes, des = head.format("AES-128-CBC", "0A" * 16), head.format("DES-EDE3-CBC", "0A" * 8)
+    for text in (block(aes), block(des), block(aes, kind="EC "), block(aes, end="\r\n")):
+        assert [x for x in secrets.find_secrets(f"see {text} there") if x[0] == "pem"] == [("pem", 4, 4 + len(text))]
+    cut = base64.b64encode(bytes(60)).decode()
+    for text in (block(aes, cut), block(head.format("AES-128-CBC", "0A" * 8)), block("Proc-Type: 4,ENCRYPTED\n\n"), block("")):
+        assert "pem" not in kinds(text)
+    upper, mixed = KEY.hex().upper(), KEY.hex()[:40] + KEY.hex()[40:].upper()
+    for text in (upper, mixed):
+        assert [x for x in secrets.find_secrets(f"k {text}") if x[0] == "der"] == [("der", 2, 2 + len(text))]
+    assert kinds("A" + KEY.hex()) == ["hex", "der"]
+    assert "der" not in kinds(upper[:-2])
+
+
 def test_base_rules():
     assert secrets.find_secrets('API_KEY: "abc123" 😀 AKIA' + "A1" * 9) == [("assign", 0, 16), ("access", 20, 42)]
     assert kinds("token: token: abcdefg") == [] and kinds("AKIA123") == [] and kinds("0123456789abcdef" * 2) == ["hex"]
