@@ -71,11 +71,16 @@ def _hidden_hits(part: W.Slice, lexicon: np.ndarray) -> np.ndarray:
     return np.bincount(tokens.row[np.isin(h, lexicon)], minlength=part.n_rows)
 
 
+def _hashes(words: list[str]) -> np.ndarray:
+    """Hashes of words in lower, capitalised and upper case; texts are folded over A-Z only, so each form counts as written beyond."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    forms = {form.translate(fold) for w in words for form in (w, w.lower(), w[:1].upper() + w[1:], w.upper())}
+    return np.array(sorted({W.word_hash(w) for w in forms}), np.uint64)
+
+
 class Lexicon:
     def __init__(self, learned: list[str]):
-        self.insults = np.array(sorted({W.word_hash(w) for w in INSULTS}), np.uint64)
-        self.learned = np.array(sorted({W.word_hash(w) for w in learned}), np.uint64)
-        self.second = np.array(sorted({W.word_hash(w) for w in SECOND_PERSON}), np.uint64)
+        self.insults, self.learned, self.second = _hashes(INSULTS), _hashes(learned), _hashes(SECOND_PERSON)
 
 
 def features(part: W.Slice, lexicon: Lexicon) -> np.ndarray:

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from echoloom.llm import near_dedup, secrets, sentence_pieces, token_output
+from echoloom.llm import near_dedup, secrets, sentence_pieces, token_output, toxicity
 from echoloom.llm import words as W
 from echoloom.llm.wavelet import WaveletMatrix
 
@@ -138,3 +138,13 @@ def test_sketches_estimate_high_similarity():
             assert np.bitwise_count(parity[0] ^ parity[1]).sum() <= 2 * own
     apart = near_dedup.signatures([rng.integers(0, 1 << 63, 500, dtype=np.uint64) for _ in range(2)])[4]
     assert np.bitwise_count(apart[0] ^ apart[1]).sum() > bound
+
+
+def test_words_with_capitals_beyond_ascii_are_hits():
+    lexicon = toxicity.Lexicon(["дурак", "übles"])
+    texts = ["blöd cabrón", "BLÖD CABRÓN", "Blöd Cabrón", "дурак übles", "ДУРАК ÜBLES", "Дурак Übles", "étude"]
+    made = np.concatenate([toxicity.features(part, lexicon) for part in W.slices(pa.array(texts))])
+    at = toxicity.FEATURES.index
+    assert made[:, at("insult_hits")].tolist() == [2, 2, 2, 0, 0, 0, 0]
+    assert made[:, at("learned_hits")].tolist() == [0, 0, 0, 2, 2, 2, 0]
+    assert not made[:, at("hidden_hits")].any()
