@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoloom.llm.common import written
+from echoloom.operators.order import with_position
 
 _CONTROL = r"(</?s>|\[/?(?:INST|SYS|TURN)\])"
 MARKS = {"system": ("[SYS] ", " [/SYS]"), "user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>")}
@@ -164,9 +165,10 @@ def linear_trees(conversations: DataFrame) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as trees in which each turn answers the one before.
 
     Turns follow ``turn``, then role and text; rows repeated with one turn are turns of their own. Rows without a conv_id are one conversation.
+    They are numbered over ranges and written once, so a conversation of very many rows is not gathered in one task.
     """
     tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree")
-    order = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    rows = conversations.select(tree, "turn", "role", "text").withColumn("node", F.row_number().over(order))
+    rows = conversations.select(tree, "turn", F.struct("role", "text").alias("said"))
+    placed = with_position(rows, ("tree",), date="turn", identifier="said").withColumn("node", F.col("position") + 1)
     parent = F.when(F.col("node") > 1, F.col("node") - 1)
-    return rows.select("tree", "node", parent.alias("parent"), F.lit(1.0).alias("score"), "role", "text")
+    return placed.select("tree", "node", parent.alias("parent"), F.lit(1.0).alias("score"), "said.role", "said.text")

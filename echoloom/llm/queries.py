@@ -49,7 +49,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_packages(spark)
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("int"), "role", "text")
     case = spark.createDataFrame(CONTROL_CASE, "conv_id long, turn int, role string, text string")
-    nodes = written(chat.linear_trees(rows.unionByName(case)), "chat-nodes")
+    nodes = chat.linear_trees(rows.unionByName(case))
     output = written(chat.formatted_turns(nodes), "chat-output")
     found = chat.digests(chat.parsed_turns(output))
     conv_id = F.when(F.col("tree") != "null", F.col("tree").cast("long")).alias("conv_id")

@@ -144,6 +144,19 @@ def test_chat(spark):
     assert chat.digests(chat.parsed_turns(chat.formatted_turns(empty))).count() == 0
 
 
+def test_a_large_conversation_is_numbered_over_ranges(spark):
+    """No window over rows; nulls, repeated turns and repeated rows keep their order."""
+    turns = [(1, i // 3 if i % 7 else None, "user" if i % 2 else None, f"t{i % 5}" if i % 11 else None) for i in range(2000)]
+    rows = turns + [(None, 0, "user", "a"), (None, 0, "user", "a"), (2, 1, "user", "b")]
+    nodes = chat.linear_trees(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4))
+    assert "row_number" not in nodes._jdf.queryExecution().toString()
+    found = nodes.orderBy("tree", "node").collect()
+    key = lambda r: [(x is not None, x or "") for x in r[2:]]
+    expected = sorted(turns, key=lambda r: ((r[1] is not None, r[1] or 0), key(r)))
+    assert [(r.node, r.parent, r.role, r.text) for r in found if r.tree == "1"] == [(i + 1, i or None, r[2], r[3]) for i, r in enumerate(expected)]
+    assert [(r.tree, r.node, r.parent) for r in found if r.tree != "1"] == [("2", 1, None), ("null", 1, None), ("null", 2, 1)]
+
+
 def test_reply_trees(spark):
     """The branch with the best mean score; a missing parent is a root; what hangs on a cycle is left out."""
     nodes = [
