@@ -12,7 +12,7 @@ are words, not bytes, and blocks are two words:
 Many stretches of text are searched at once, each at its own position, as lanes of one numpy loop.
 
 The benchmark is a fixed query set, not corpus data. It is read in blocks of at most ``block_words`` words, so what is
-sent to the tasks is bounded; more blocks mean more passes within the same tasks, without a shuffle.
+sent to the tasks is bounded; more blocks mean more passes, without a shuffle, each written to the shared folder before the next.
 
 A null or empty text has no words and no hits; an item without words, or a null item, has no window; an item with a
 null id counts as the id "". Items of equal text all count. Every row stays one row.
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echoloom.llm import words as W
+from echoloom.llm.common import written
 
 BLOCK_WORDS = 2_000_000
 #: End positions that one lane searches.
@@ -192,7 +193,12 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry
     items = next(blocks)
     while items is not None:
         after = next(blocks, None)
-        frame = _one_pass(frame, context.broadcast(Block(items, window)), keep_text=after is not None)
+        sent = context.broadcast(Block(items, window))
+        frame = _one_pass(frame, sent, keep_text=after is not None)
+        if after is not None:
+            # Written before the next block, so that a task holds one block only.
+            frame = written(frame, "passages")
+            sent.destroy()
         items = after
     return frame
 

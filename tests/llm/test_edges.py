@@ -231,6 +231,12 @@ def test_decontamination(spark, odd, none, bench):
     assert decontaminate.find_passages(none, bench).count() == 0
 
 
+def test_a_task_holds_one_block_of_the_benchmark(odd, bench):
+    found = decontaminate.find_passages(odd, bench, block_words=1)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.count() == len(ROWS)
+
+
 def test_toxicity(spark, odd, none):
     texts = [(i, f"you are a {'stupid idiot' if i % 3 == 0 else 'nice person'} number {i}") for i in range(90)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
