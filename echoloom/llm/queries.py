@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoloom.llm import chat, decontaminate, exact_dedup, language, licenses, near_dedup, secrets, sentence_pieces, token_output, toxicity
+from echoloom.llm import chat, decontaminate, exact_dedup, language, licenses, mixing, near_dedup, secrets, sentence_pieces, token_output, toxicity
 from echoloom.llm.common import is_held_out, is_training, table, written
 from workload.shipping import ship_packages
 
@@ -87,7 +87,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mixing_plan(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op2_sentence_pieces, op3_exact_dedup, op4_token_output, op5_licenses, op6_chat, op7_language, op8_near_dedup, op9_decontaminate, op10_toxicity)
+    for f in (op1_secrets, op2_sentence_pieces, op3_exact_dedup, op4_token_output, op5_licenses, op6_chat, op7_language, op8_near_dedup, op9_decontaminate, op10_toxicity, op11_mixing)
 }
