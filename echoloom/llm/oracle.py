@@ -87,4 +87,27 @@ FROM bodies LEFT JOIN summed USING (nr)
 """
 
 
-ORACLE = {"op3_exact_dedup": EXACT_DEDUP, "op5_licenses": _licenses(), "op9_decontaminate": DECONTAMINATE}
+HARD_NEGATIVES = """
+WITH whole AS (
+  SELECT row_number() OVER () AS nr, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.nr AS anchor, a.vec_id AS anchor_id, r.nr, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM whole a JOIN whole r ON a.nr <> r.nr WHERE a.vec_id % 100 = 0
+),
+positives AS (
+  SELECT anchor, anchor_id, nr AS positive, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, nr) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+WINDOW best AS (PARTITION BY p.anchor, positive ORDER BY n.score DESC, n.vec_id, n.nr)
+QUALIFY row_number() OVER best <= 10
+"""
+
+
+ORACLE = {"op3_exact_dedup": EXACT_DEDUP, "op5_licenses": _licenses(), "op9_decontaminate": DECONTAMINATE, "op13_hard_negatives": HARD_NEGATIVES}
