@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoloom.llm import chat, decontaminate, exact_dedup, language, licenses, mixing, near_dedup, negatives, secrets, sentence_pieces, token_output, toxicity
+from echoloom.llm import chat, decontaminate, exact_dedup, language, licenses, mixing, near_dedup, negatives, secrets, sentence_pieces, token_output, toxicity, turns
 from echoloom.llm.common import is_held_out, is_training, table, written
 from workload.shipping import ship_packages
 
@@ -92,6 +92,11 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_packages(spark)
+    return turns.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_packages(spark)
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -101,5 +106,5 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op2_sentence_pieces, op3_exact_dedup, op4_token_output, op5_licenses, op6_chat, op7_language, op8_near_dedup, op9_decontaminate, op10_toxicity, op11_mixing, op13_hard_negatives)
+    for f in (op1_secrets, op2_sentence_pieces, op3_exact_dedup, op4_token_output, op5_licenses, op6_chat, op7_language, op8_near_dedup, op9_decontaminate, op10_toxicity, op11_mixing, op12_conversation_repair, op13_hard_negatives)
 }
