@@ -89,16 +89,16 @@ def _squares(vectors: np.ndarray) -> np.ndarray:
 class Tree:
     """Split points of both levels, the length that all rows get, and the ranges once they are known.
 
-    ``tops``: split points of the root. ``leaves[t]``: those of the node below ``t``. Leaf ``t * FANOUT + s``.
+    ``tops``: split points of the root. ``leaves[t]``: those of the node below ``t``. Leaf ``t * fanout + s``.
     ``root_range`` and ``node_range`` are (low, high) distances from a split point (first axis) to the rows of a sibling.
     """
 
-    def __init__(self, sample: np.ndarray, longest: int):
-        self.longest = longest
+    def __init__(self, sample: np.ndarray, longest: int, fanout: int = FANOUT):
+        self.longest, self.fanout = longest, fanout
         self.width = sample.shape[1]
-        self.tops = _spread(sample, FANOUT, longest)
+        self.tops = _spread(sample, fanout, longest)
         nearest = self._distances(sample, self.tops).argmin(axis=1) if len(sample) else np.zeros(0, int)
-        self.leaves = [_spread(sample[nearest == t], FANOUT, longest) if (nearest == t).any() else self.tops[t : t + 1] for t in range(len(self.tops))]
+        self.leaves = [_spread(sample[nearest == t], fanout, longest) if (nearest == t).any() else self.tops[t : t + 1] for t in range(len(self.tops))]
         self.root_range = self.node_range = None
 
     def _distances(self, rows: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -118,19 +118,19 @@ class Tree:
         to_tops = self._distances(rows, self.tops)
         top = to_tops.argmin(axis=1)
         leaf = np.zeros(len(rows), np.int32)
-        below = np.full((len(rows), FANOUT), np.nan)
+        below = np.full((len(rows), self.fanout), np.nan)
         for t in np.unique(top):
             here = np.flatnonzero(top == t)
             d = self._distances(rows[here], self.leaves[t])
-            leaf[here] = t * FANOUT + d.argmin(axis=1)
+            leaf[here] = t * self.fanout + d.argmin(axis=1)
             below[here, : d.shape[1]] = d
-        wide = np.full((len(rows), FANOUT), np.nan)
+        wide = np.full((len(rows), self.fanout), np.nan)
         wide[:, : to_tops.shape[1]] = to_tops
         return leaf, np.concatenate([wide, below], axis=1)
 
     def set_ranges(self, rows: list[tuple[int, list[float], list[float]]]) -> None:
         """``rows``: leaf, least and largest distance to the split points of root and node, over all rows of the leaf."""
-        size = FANOUT
+        size = self.fanout
         self.root_range = np.stack([np.full((size, size), np.inf), np.full((size, size), -np.inf)])
         self.node_range = np.stack([np.full((size, size, size), np.inf), np.full((size, size, size), -np.inf)])
         for leaf, low, high in rows:
@@ -144,7 +144,7 @@ class Tree:
 
     def limits(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and largest possible distance of every anchor to the rows of every leaf (anchors x leaves)."""
-        n, size = len(anchors), FANOUT
+        n, size = len(anchors), self.fanout
         low, high = np.zeros((n, size * size)), np.full((n, size * size), np.inf)
         root_low, root_high = _bounds(self.from_anchors(anchors, self.tops), *self.root_range)
         for t, points in enumerate(self.leaves):
@@ -205,13 +205,13 @@ def fit(vectors: DataFrame) -> Tree:
     components = F.aggregate("vector", F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + (x.cast("decimal(18,0)") * x).cast("decimal(37,0)")).cast("decimal(38,0)"))
     longest, width = vectors.agg(F.max(components), F.max(F.size("vector"))).first()
     taken = vectors.select("vector", F.xxhash64("number").alias("h"), "number").orderBy("h", "number").limit(SAMPLE_ROWS).select("vector").toArrow()
-    return Tree(_matrix(taken.column(0).combine_chunks(), width or 1), int(longest or 0))
+    return Tree(_matrix(taken.column(0).combine_chunks(), width or 1), int(longest or 0), FANOUT)
 
 
 # --- index --------------------------------------------------------------------------------------
 
 
-def index_rows(vectors: DataFrame, tree: Tree) -> DataFrame:
+def index_rows(vectors: DataFrame, tree: Tree, chunk: int) -> DataFrame:
     """All rows in chunks of one leaf each, sorted by id, and the leaf's ranges on each chunk; written."""
     shared = vectors.sparkSession.sparkContext.broadcast(tree)
 
@@ -231,9 +231,9 @@ def index_rows(vectors: DataFrame, tree: Tree) -> DataFrame:
     def pack(batches):
         import pyarrow as pa
 
-        for leaf, table in _runs(batches):
+        for leaf, table in _runs(batches, chunk):
             rows = _matrix(table.column("vector").combine_chunks(), shared.value.width)
-            near = table.column("near").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * FANOUT)
+            near = table.column("near").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * shared.value.fanout)
             ids = table.column("id")
             known = ids.is_valid().to_numpy().astype(np.int8)
             values = ids.fill_null(0).to_numpy().astype(np.int64)
@@ -253,8 +253,8 @@ def index_rows(vectors: DataFrame, tree: Tree) -> DataFrame:
     return written(ranged.mapInArrow(pack, CHUNK_COLUMNS), "vector-chunks")
 
 
-def _runs(batches) -> Iterator[tuple[int, object]]:
-    """Tables of up to ``CHUNK`` rows of one leaf from sorted batches."""
+def _runs(batches, size: int) -> Iterator[tuple[int, object]]:
+    """Tables of up to ``size`` rows of one leaf from sorted batches."""
     import pyarrow as pa
 
     held, leaf, n = [], None, 0
@@ -269,10 +269,10 @@ def _runs(batches) -> Iterator[tuple[int, object]]:
                 held, n = [], 0
             leaf = int(leaves[begin])
             while begin < end:
-                take = min(CHUNK - n, end - begin)
+                take = min(size - n, end - begin)
                 held.append(batch.slice(begin, take))
                 begin, n = begin + take, n + take
-                if n == CHUNK:
+                if n == size:
                     yield leaf, pa.Table.from_batches(held)
                     held, n = [], 0
     if held:
@@ -282,20 +282,21 @@ def _runs(batches) -> Iterator[tuple[int, object]]:
 def with_ranges(tree: Tree, chunks: DataFrame) -> Tree:
     """Ranges over all rows, from those of the chunks: at most one row per leaf comes to the driver."""
 
+    size = 2 * tree.fanout
+
     def spans(batches):
         import pyarrow as pa
 
         for batch in batches:
             values = [np.frombuffer(b, np.float64) for b in batch.column(1).to_pylist()]
-            low = [[None if np.isnan(x) else float(x) for x in v[: 2 * FANOUT]] for v in values]
-            high = [[None if np.isnan(x) else float(x) for x in v[2 * FANOUT :]] for v in values]
+            low = [[None if np.isnan(x) else float(x) for x in v[:size]] for v in values]
+            high = [[None if np.isnan(x) else float(x) for x in v[size:]] for v in values]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.list_(pa.float64())), pa.array(high, pa.list_(pa.float64()))], names=["leaf", "low", "high"])
 
     rows = chunks.select("leaf", "near").mapInArrow(spans, "leaf int, low array<double>, high array<double>")
-    lows = [F.min(F.col("low")[i]).alias(f"l{i}") for i in range(2 * FANOUT)]
-    highs = [F.max(F.col("high")[i]).alias(f"h{i}") for i in range(2 * FANOUT)]
+    lows = [F.min(F.col("low")[i]).alias(f"l{i}") for i in range(size)]
+    highs = [F.max(F.col("high")[i]).alias(f"h{i}") for i in range(size)]
     found = rows.groupBy("leaf").agg(*lows, *highs)
-    size = 2 * FANOUT
     tree.set_ranges([(r[0], list(r[1 : 1 + size]), list(r[1 + size :])) for r in found.collect()])
     return tree
 
@@ -425,16 +426,16 @@ def mine(vectors: DataFrame, is_anchor: Column, window: tuple[int, int] = WINDOW
     if vectors.limit(1).count() == 0:
         return spark.createDataFrame([], out)
     tree = fit(vectors)
-    chunks = index_rows(vectors, tree)
+    chunks = index_rows(vectors, tree, CHUNK)
     shared = spark.sparkContext.broadcast(with_ranges(tree, chunks))
     wanted = vectors.filter(is_anchor).select("id", "label", "number", "vector")
     placed = written(with_position(wanted, (), "id", "number").withColumn("block", F.expr(f"position div {ANCHOR_BLOCK}")), "anchors")
-    n_blocks = (placed.agg(F.max("block")).first()[0] or 0) + 1
+    last = placed.agg(F.max("block")).first()[0]
+    if last is None:
+        return spark.createDataFrame([], out)
     path = scratch_path(spark, "negatives")
-    for b in range(n_blocks):
+    for b in range(last + 1):
         rows = placed.filter(F.col("block") == b).orderBy("position").select("id", "label", "number", "vector").toArrow()
-        if not rows.num_rows:
-            continue
         numbers = rows.column(2).to_numpy()
         anchors = spark.sparkContext.broadcast((_matrix(rows.column(3).combine_chunks(), tree.width), rows.column(1).to_numpy(), numbers))
         positives = written(_first(_search(chunks, shared, anchors, n_positives, None), n_positives), "positives")

@@ -87,6 +87,76 @@ FROM bodies LEFT JOIN summed USING (nr)
 """
 
 
+#: The multipliers by halving an interval, where the operator takes Newton steps.
+MIXING = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), ' '))[1:15] AS BIGINT) AS tie
+  FROM documents
+),
+cells AS (SELECT source, size, count(*) AS n FROM docs GROUP BY ALL),
+sums AS (
+  SELECT source, CAST(sum(n * size) AS BIGINT) AS total, sum(n) AS n_docs, min(size) FILTER (size > 0) AS least,
+         [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM cells GROUP BY source
+),
+poured AS (
+  SELECT *, 1.5 * sum(total) OVER () - coalesce(sum(2 * total) OVER before, 0) AS remaining, sum(weight) OVER onward AS open_weight
+  FROM sums
+  WINDOW before AS (ORDER BY total / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         onward AS (ORDER BY total / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+),
+first_open AS (SELECT min_by({'l': remaining, 'w': open_weight}, total / weight) AS f FROM poured WHERE 2.0 * total * open_weight > remaining * weight),
+targets AS (
+  SELECT source, total, total / n_docs AS mean, least,
+         CASE WHEN 2.0 * total * open_weight <= remaining * weight THEN CAST(2 * total AS DOUBLE)
+              ELSE CAST(f.l AS DOUBLE) * weight / CAST(f.w AS DOUBLE) END AS target
+  FROM poured LEFT JOIN first_open ON true
+),
+halved AS (
+  SELECT source, ln(least(1, target / total)) * mean / least * 1.000001 AS low, ln(2) * mean / least * 1.000001 AS high, 0 AS step
+  FROM targets WHERE total > 0
+  UNION ALL
+  SELECT source, CASE WHEN words < target THEN mid ELSE low END, CASE WHEN words < target THEN high ELSE mid END, step + 1
+  FROM (
+    SELECT h.source, low, high, step, (low + high) / 2 AS mid, any_value(target) AS target,
+           sum(n * size * least(2.0, exp((low + high) / 2 * size / mean))) AS words
+    FROM halved h JOIN targets t ON h.source IS NOT DISTINCT FROM t.source JOIN cells c ON h.source IS NOT DISTINCT FROM c.source
+    WHERE step < 100 AND target < 2 * total GROUP BY h.source, low, high, step
+  )
+),
+multipliers AS (SELECT source, max_by(high, step) AS multiplier FROM halved GROUP BY source),
+rated AS (
+  SELECT c.source, size, n, target, total, CAST(round(coalesce(least(2.0, exp(multiplier * size / mean)), 1) * 16777216) AS BIGINT) AS rate
+  FROM cells c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source LEFT JOIN multipliers m ON c.source IS NOT DISTINCT FROM m.source
+),
+summed AS (SELECT *, (CAST(sum(n * rate) OVER (PARTITION BY source ORDER BY size) AS BIGINT) + 8388608) >> 24 AS upto FROM rated),
+rounded AS (SELECT *, upto - coalesce(lag(upto) OVER (PARTITION BY source ORDER BY size), 0) AS copies FROM summed),
+mended AS (
+  SELECT source, CAST(round(any_value(target)) - sum(copies * size) AS BIGINT) AS rest, CAST(NULL AS BIGINT) AS size, CAST(0 AS BIGINT) AS change
+  FROM rounded GROUP BY source
+  UNION ALL
+  SELECT source, rest - change * size, size, change
+  FROM (
+    SELECT source, rest, size, least(room, abs(rest) // size) * sign(rest) AS change
+    FROM (
+      SELECT m.source, m.rest, max(r.size) AS size, arg_max(CASE WHEN m.rest > 0 THEN 2 * n - copies ELSE copies END, r.size) AS room
+      FROM mended m JOIN rounded r ON m.source IS NOT DISTINCT FROM r.source
+      WHERE r.size > 0 AND r.size <= abs(m.rest) AND (m.size IS NULL OR r.size < m.size) AND CASE WHEN m.rest > 0 THEN 2 * n - copies ELSE copies END > 0
+      GROUP BY m.source, m.rest
+    )
+  )
+),
+final AS (
+  SELECT r.source, r.size, n, target, total, CAST(copies + coalesce(change, 0) AS BIGINT) AS copies
+  FROM rounded r LEFT JOIN mended m ON r.source IS NOT DISTINCT FROM m.source AND r.size = m.size
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source, size ORDER BY tie, doc_id NULLS FIRST) - 1 AS place FROM docs)
+SELECT doc_id, p.size, total AS source_size, target, copies // n + CAST(place < copies % n AS BIGINT) AS copies,
+       p.size * (copies // n + CAST(place < copies % n AS BIGINT)) AS taken
+FROM placed p JOIN final f ON p.source IS NOT DISTINCT FROM f.source AND p.size = f.size
+"""
+
 HARD_NEGATIVES = """
 WITH whole AS (
   SELECT row_number() OVER () AS nr, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -110,4 +180,4 @@ QUALIFY row_number() OVER best <= 10
 """
 
 
-ORACLE = {"op3_exact_dedup": EXACT_DEDUP, "op5_licenses": _licenses(), "op9_decontaminate": DECONTAMINATE, "op13_hard_negatives": HARD_NEGATIVES}
+ORACLE = {"op3_exact_dedup": EXACT_DEDUP, "op5_licenses": _licenses(), "op9_decontaminate": DECONTAMINATE, "op11_mixing": MIXING, "op13_hard_negatives": HARD_NEGATIVES}

@@ -98,11 +98,11 @@ def placed_rows(rows: DataFrame) -> DataFrame:
     return written(joined.select("conv_id", "turn", "position", "role", "text", known.alias("initial"), fault.alias("fault")), "judged-turns")
 
 
-def blocks_of(placed: DataFrame) -> DataFrame:
+def blocks_of(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, block and the block's rows as one string of letters, and as one of their role initials."""
     code = F.when(F.col("fault").isin("blank", "duplicate"), MUST_GO).when(F.col("fault") == "truncated", F.upper("initial")).otherwise(F.col("initial"))
     letters = F.array_sort(F.collect_list(F.struct("position", code.alias("code"), "initial")))
-    packed = placed.groupBy("conv_id", F.expr(f"position div {BLOCK}").alias("block")).agg(letters.alias("rows"))
+    packed = placed.groupBy("conv_id", F.expr(f"position div {block}").alias("block")).agg(letters.alias("rows"))
     return packed.select("conv_id", "block", F.array_join("rows.code", "").alias("codes"), F.array_join("rows.initial", "").alias("initials"))
 
 
@@ -231,8 +231,8 @@ def _stretch_schema():
     return pa.schema([("conv_id", long_), ("block", long_), ("n_rows", long_), ("weights", pa.list_(weight)), ("first", text), ("last", text), ("illegal", long_)])
 
 
-def _join_stretches(table):
-    """Neighbouring stretches of one conversation (at most ``FAN_IN``) as one."""
+def _join_stretches(table, fan_in: int):
+    """Neighbouring stretches of one conversation (at most ``fan_in``) as one."""
     import pyarrow as pa
 
     rows = sorted(table.to_pylist(), key=lambda r: r["block"])
@@ -241,13 +241,13 @@ def _join_stretches(table):
         weights = chained(weights, _square(row["weights"]))
         illegal += row["illegal"] + (before["last"] + row["first"] not in LEGAL)
     one = {
-        "conv_id": rows[0]["conv_id"], "block": rows[0]["block"] // FAN_IN, "n_rows": sum(r["n_rows"] for r in rows), "weights": _flat(weights),
+        "conv_id": rows[0]["conv_id"], "block": rows[0]["block"] // fan_in, "n_rows": sum(r["n_rows"] for r in rows), "weights": _flat(weights),
         "first": rows[0]["first"], "last": rows[-1]["last"], "illegal": illegal,
     }
     return pa.Table.from_pylist([one], _stretch_schema())
 
 
-def repairs(blocks: DataFrame) -> DataFrame:
+def repairs(blocks: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """conv_id, n_rows, cost, audit and illegal of every conversation: stretches are joined until each has one."""
     stretches = written(blocks.mapInArrow(_stretches, STRETCH), "stretches")
     last = stretches.agg(F.max("block")).first()[0] or 0
@@ -257,9 +257,9 @@ def repairs(blocks: DataFrame) -> DataFrame:
         more = stretches.filter("block > 0").select(F.col("conv_id").alias("of")).distinct()
         same = F.col("conv_id").eqNullSafe(F.col("of"))
         done.append(stretches.join(more, same, "left_anti"))
-        open_ones = stretches.join(more, same, "left_semi").withColumn("group", F.expr(f"block div {FAN_IN}"))
-        stretches = written(open_ones.groupBy("conv_id", "group").applyInArrow(lambda t: _join_stretches(t.drop_columns(["group"])), STRETCH), "stretches")
-        last //= FAN_IN
+        open_ones = stretches.join(more, same, "left_semi").withColumn("group", F.expr(f"block div {fan_in}"))
+        stretches = written(open_ones.groupBy("conv_id", "group").applyInArrow(lambda t: _join_stretches(t.drop_columns(["group"]), fan_in), STRETCH), "stretches")
+        last //= fan_in
     for part in done:
         stretches = stretches.unionByName(part)
 
@@ -280,7 +280,7 @@ def repairs(blocks: DataFrame) -> DataFrame:
 # --- repaired texts -----------------------------------------------------------------------------
 
 
-def audit_parts(found: DataFrame) -> DataFrame:
+def audit_parts(found: DataFrame, block_rows: int = BLOCK) -> DataFrame:
     """conv_id, block, the state it begins in and its letters: the audit cut at the blocks' borders."""
 
     def cut(batches):
@@ -292,7 +292,7 @@ def audit_parts(found: DataFrame) -> DataFrame:
                 begin, block, rows = 0, 0, 0
                 for at, letter in enumerate(audit):
                     rows += letter != "I"
-                    if rows == BLOCK:
+                    if rows == block_rows:
                         out.append((conv, block, audit[begin : at + 1]))
                         begin, block, rows = at + 1, block + 1, 0
                 if begin < len(audit):
@@ -344,13 +344,13 @@ class _Writer:
 REPAIRED = "conv_id long, place long, role string, text string"
 
 
-def repaired_rows(placed: DataFrame, found: DataFrame) -> DataFrame:
+def repaired_rows(placed: DataFrame, found: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, place, role and text of the repaired conversations, in order within each partition.
 
     Letters and rows meet in one stream per conversation, sorted by place; a task holds one block's letters and one row.
     """
-    marks = audit_parts(found).select("conv_id", "block", F.lit(-1).cast("long").alias("position"), F.lit("").alias("role"), F.col("letters").alias("text"))
-    rows = placed.select("conv_id", F.expr(f"position div {BLOCK}").alias("block"), "position", "role", "text")
+    marks = audit_parts(found, block).select("conv_id", "block", F.lit(-1).cast("long").alias("position"), F.lit("").alias("role"), F.col("letters").alias("text"))
+    rows = placed.select("conv_id", F.expr(f"position div {block}").alias("block"), "position", "role", "text")
     # A block's letters stand before its rows; letters beyond the last row (inserts) come as a block of their own.
     together = marks.unionByName(rows).repartition("conv_id").sortWithinPartitions("conv_id", "block", "position")
 
@@ -423,23 +423,23 @@ def repaired_digests(repaired: DataFrame) -> DataFrame:
 # --- the whole ----------------------------------------------------------------------------------
 
 
-def repair(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repair(conversations: DataFrame, block: int = BLOCK, fan_in: int = FAN_IN) -> tuple[DataFrame, DataFrame]:
     """A row per conversation that has rows (faults, cost, audit), and the repaired rows."""
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     placed = placed_rows(rows)
     counts = placed.groupBy("conv_id").agg(*[F.count(F.when(F.col("fault") == f, 1)).alias(f) for f in ("blank", "duplicate", "truncated")])
     turns = placed.filter("turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.lit(1).alias("one"))
     gaps = turns.groupBy(F.col("conv_id").alias("of")).agg((F.max("turn") - F.min("turn") + 1 - F.count("turn")).alias("gaps"))
-    found = written(repairs(blocks_of(placed)), "repairs")
+    found = written(repairs(blocks_of(placed, block), fan_in), "repairs")
     merged = found.join(counts.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")))
     merged = merged.join(gaps, F.col("conv_id").eqNullSafe(F.col("of")), "left")
     report = merged.select("conv_id", "n_rows", F.coalesce("gaps", F.lit(0)).alias("gaps"), "blank", "duplicate", "truncated", "illegal", "cost", "audit")
-    return report, repaired_rows(placed, found)
+    return report, repaired_rows(placed, found, block)
 
 
-def damage_and_repair(conversations: DataFrame) -> DataFrame:
+def damage_and_repair(conversations: DataFrame, block: int = BLOCK, fan_in: int = FAN_IN) -> DataFrame:
     """The report of the damaged conversations, one row for every conversation there was, with the digest of its repair."""
-    report, repaired = repair(damaged(conversations))
+    report, repaired = repair(damaged(conversations), block, fan_in)
     everyone = conversations.select(F.col("conv_id").cast("long").alias("conv")).distinct()
     joined = everyone.join(report, F.col("conv").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
     joined = joined.join(repaired_digests(repaired), F.col("conv").eqNullSafe(F.col("of")), "left")
