@@ -34,6 +34,8 @@ def _col(c: Column | str) -> Column:
 
 def redact(c: Column | str, rule: PiiRule) -> Column:
     """Replace what one rule finds; null stays null."""
+    if rule.search:
+        return F.regexp_replace(_col(c), UNICODE + rule.search, "$1" + rule.tag)
     pattern = f"{rule.guard}(?:{rule.pattern})" if rule.guard else rule.pattern
     return F.regexp_replace(_col(c), UNICODE + pattern, rule.tag)
 

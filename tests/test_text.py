@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -162,3 +163,32 @@ def test_random_texts_against_python_regex(spark):
 def clean_shape_broken():
     c = F.col("clean_text")
     return F.contains(c, F.lit("  ")) | (c != F.trim(c)) | (c != F.lower(c)) | text.has_emoji(c)
+
+
+def test_linear_rules_find_what_the_plain_patterns_find(spark):
+    """Dense random texts, in which matches touch, fail late, or begin inside a word."""
+    draw = random.Random(11)
+    alphabets = ["ab@.", "a1_@.", "aé@.-x", "a.|b@c", "12ab_", "é1a2@_.", "%+-a@b.Zz|9 "]
+    samples = ["".join(draw.choices(alphabet, k=draw.randint(1, 40))) for alphabet in alphabets for _ in range(400)]
+    samples += ["a@b.com-x@y.org", "a@b.cd.ef@g.hi", "éab.c@d.efg", ".+a@b.co", "x" * 30 + "@" + "a." * 20 + "com@q.rs", "12ab345cd678e", "a1b234c567d8@e999"]
+    df = column(spark, samples)
+    for rule in (r for r in config.PII_RULES if r.search):
+        expected = [re.sub(rule.pattern, rule.tag, s) for s in samples]
+        assert values(df.withColumn("r", text.redact("text", rule)), "r") == expected
+        # Java's own reading of the plain pattern, on characters that Python and Java tell apart.
+        odd = column(spark, [s.replace("é", "é").replace("b", "‍") for s in samples])
+        both = odd.select("i", text.redact("text", rule).alias("r"), F.regexp_replace("text", "(?U)" + rule.pattern, rule.tag).alias("p"))
+        assert values(both, "r") == values(both, "p")
+
+
+def test_redaction_takes_linear_time(spark):
+    """Words of 320,000 characters that hold no match, or hold one at the end only."""
+    n = 320_000
+    long_words = ["a." * (n // 2), "a1" * (n // 2), "a." * (n // 2) + "@", "a@" * (n // 2), "a" * n + "12", "a.b@" + "a." * (n // 2), "é" + "a" * n + "@"]
+    long_words += ["a1" * (n // 2) + "@b.com 999", "a123" + "b1" * (n // 2), "1a" * (n // 2) + "@x", "." * n + "@", "@" * n]
+    df = column(spark, long_words)
+    df.limit(1).select(text.redact_pii("text")).collect()
+    started = time.perf_counter()
+    found = values(df.withColumn("r", text.redact_pii("text")), "r")
+    assert time.perf_counter() - started < len(long_words)
+    assert found[0] == long_words[0] and found[7].endswith("[EMAIL_REDACTED] 999")
