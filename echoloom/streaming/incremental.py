@@ -36,7 +36,7 @@ def clean_stream(normalized: DataFrame, min_words: int = config.MIN_WORDS) -> Da
     return clean.with_clean_text(dated.filter(text.has_words("text", min_words)))
 
 
-def _append_batches(spark: SparkSession, path: str, build):
+def append_batches(spark: SparkSession, path: str, build):
     """A sink that writes each micro-batch into its own folder; a repeated batch replaces itself.
 
     The folder is there from the start, so a stream without rows leaves an empty table.
@@ -60,7 +60,7 @@ def incremental_clean(normalized: DataFrame, path: str, checkpoint: str, min_wor
 
     return (
         clean_stream(normalized, min_words).writeStream
-        .foreachBatch(_append_batches(normalized.sparkSession, path, build))
+        .foreachBatch(append_batches(normalized.sparkSession, path, build))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -112,7 +112,7 @@ def run_weekly_counts(events: DataFrame, theme: str, path: str, checkpoint: str,
     return (
         weekly_counts(events, theme, **kwargs).writeStream
         .outputMode("update")
-        .foreachBatch(_append_batches(events.sparkSession, path, lambda batch: batch))
+        .foreachBatch(append_batches(events.sparkSession, path, lambda batch: batch))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

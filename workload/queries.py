@@ -13,7 +13,7 @@ from echoloom.operators import classify, clean, compare, insight, quality, scori
 from echoloom.plans import runs, weekly
 from echoloom.session import materialize, scratch_path
 from echoloom.sources import readers, writers
-from echoloom.streaming import incremental
+from echoloom.streaming import incremental, stateful
 from workload import views
 from workload.shipping import ship_packages
 from workload.views import AS_OF, FIRST_DAY, KEY, WINDOW_DAYS
@@ -852,14 +852,17 @@ def q_incremental_clean(spark, sf):
 
 @query
 def q_stream_dedup(spark, sf):
-    """Two runs over the same landed files: the table read back holds every text once."""
-    path = scratch_path(spark, "stream-dedup")
-    for run in ("first", "second"):
-        incremental.incremental_clean(
-            _landed_stream(spark, sf), f"{path}/run={run}", scratch_path(spark, f"stream-dedup-{run}")
-        ).awaitTermination()
-    stored = incremental.read_deduplicated(spark, path, _stream_clean_schema(spark, sf))
-    return stored.select(KEY, "date", "clean_text", "copies")
+    """The same files land twice, with a run after each: the second one goes on from the state of the first."""
+    ship_packages(spark)
+    landed, path, checkpoint = (scratch_path(spark, f"stream-dedup-{name}") for name in ("landed", "corrections", "checkpoint"))
+    schema = None
+    for _ in range(2):
+        views.documents(spark, sf).write.mode("append").parquet(landed)
+        docs = incremental.stream_files(spark, landed, views.documents(spark, sf).schema)
+        stream = clean.normalize_reviews(views.as_reviews(docs), FIRST_DAY, AS_OF)
+        schema = incremental.clean_stream(stream).schema
+        stateful.run_stateful_dedup(stream, path, checkpoint).awaitTermination()
+    return stateful.read_corrected(spark, path, schema).select(KEY, "date", "clean_text", "copies")
 
 
 @query
