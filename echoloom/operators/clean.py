@@ -12,7 +12,7 @@ Cost rules the layer follows:
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from echoloom import config
 from echoloom.config import PiiRule
 from echoloom.functions import dates, text
+from echoloom.session import materialize
 
 CLEAN_COLUMNS = [
     "review_id", "date", "week_start_date", "week_end_date", "rating", "title", "text", "clean_text",
@@ -163,6 +164,47 @@ def dedup_earliest(
     )
 
 
+#: A row's place in one whole number: day, then identifier, then 40 bits of a hash of the row, which settles ties.
+_DAYS, _IDS, _HASH = "decimal(7,0)", 2**64 + 1, 2**40
+#: Winners (16 bytes each) that ``dedup_late`` broadcasts at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def _order_number(df: DataFrame, order: Sequence[str]) -> Column | None:
+    """The order of rows by (date, whole-number identifier) as a ``decimal(38,0)``, null values first; None for other types."""
+    kinds = [df.schema[c].dataType for c in order]
+    if len(kinds) != 2 or not isinstance(kinds[0], T.DateType) or not isinstance(kinds[1], T.IntegralType):
+        return None
+    day = F.coalesce(F.datediff(order[0], F.lit("0001-01-01").cast("date")) + 1, F.lit(0)).cast(_DAYS)
+    place = F.col(order[1]).cast("decimal(20,0)") + F.lit(str(2**63 + 1)).cast("decimal(20,0)")
+    number = F.coalesce(place, F.lit(0)).cast("decimal(20,0)")
+    scaled = (day * F.lit(str(_IDS)).cast("decimal(20,0)")).cast("decimal(28,0)") + number
+    tie = F.pmod(F.xxhash64(*sorted(df.columns)), F.lit(_HASH)).cast("decimal(13,0)")
+    return (scaled.cast("decimal(26,0)") * F.lit(str(_HASH)).cast("decimal(13,0)")).cast("decimal(38,0)") + tie
+
+
+def dedup_late(
+    df: DataFrame, key: str = "clean_text", order: Sequence[str] = ("date", "source_review_id"), label: str = "cleaned"
+) -> DataFrame:
+    """``dedup_earliest`` with the long columns fetched late: same rows, other plan.
+
+    The rows are written once with a number each. The aggregate sees only a digest, the order as one decimal and that number,
+    all of fixed width, so it hashes and sorts nothing; a text in a third of the rows is one entry per task. The winners' numbers
+    are written, and the layer is read a second time for their rows. Up to ``BROADCAST_ROWS`` winners are broadcast and no text
+    is shuffled; beyond, a hash join on the number takes over, which Spark narrows with a Bloom filter at the scan. No text is sorted.
+    """
+    rank = _order_number(df, order)
+    if rank is None:
+        return dedup_earliest(df, key, order)
+    layer = materialize(df.withColumn("_row", F.monotonically_increasing_id()), label)
+    rank = _order_number(layer.drop("_row"), order)
+    narrow = layer.select(F.unhex(F.sha2(key, 256)).alias("_digest"), rank.cast("decimal(38,0)").alias("_rank"), "_row")
+    first = narrow.groupBy("_digest").agg(F.min_by("_row", "_rank").alias("_row"), F.count(F.lit(1)).alias("copies"))
+    won = materialize(first.select("_row", "copies"), f"{label}-winners")
+    kept = layer.join(won.hint("broadcast" if won.count() <= BROADCAST_ROWS else "shuffle_hash"), "_row")
+    return kept.select(*[c for c in df.columns if c != key], key, "copies")
+
+
 def surrogate_id(key: str = "clean_text") -> Column:
     """A UUID-shaped identifier derived from the text; equal on every run and every retry."""
     digest = F.md5(key)
@@ -183,11 +225,15 @@ def distinct_reviews(
     rules: Sequence[PiiRule] = config.PII_RULES,
     typos: Mapping[str, str] = config.TYPOS,
     min_words: int = config.MIN_WORDS,
+    dedup: Callable[[DataFrame], DataFrame] = dedup_earliest,
 ) -> DataFrame:
-    """Cleaned, long enough, deduplicated reviews with the number of copies of each."""
+    """Cleaned, long enough, deduplicated reviews with the number of copies of each.
+
+    ``dedup`` is ``dedup_earliest`` or, where an intermediate layer may be written, ``dedup_late``.
+    """
     dated = filter_valid_date(normalized)
     cleaned = with_clean_text(_prefilter_words(dated, rules, typos, min_words), rules, typos)
-    return dedup_earliest(cleaned).filter(F.col("n_words") >= min_words)
+    return dedup(cleaned).filter(F.col("n_words") >= min_words)
 
 
 def clean_reviews(
@@ -196,9 +242,10 @@ def clean_reviews(
     typos: Mapping[str, str] = config.TYPOS,
     min_words: int = config.MIN_WORDS,
     source: str = config.SOURCE_NAME,
+    dedup: Callable[[DataFrame], DataFrame] = dedup_earliest,
 ) -> DataFrame:
     """The clean layer: ten report columns plus the source's own identifier."""
-    return project_clean(distinct_reviews(normalized, rules, typos, min_words), source)
+    return project_clean(distinct_reviews(normalized, rules, typos, min_words, dedup), source)
 
 
 def project_clean(distinct: DataFrame, source: str = config.SOURCE_NAME) -> DataFrame:

@@ -46,7 +46,7 @@ def build_prompts(
 
 
 def holds_json(opening: str, closing: str) -> Callable[[str], bool]:
-    """Test for an answer whose text between two brackets parses as JSON."""
+    """Test for an answer whose text between two brackets parses as JSON; one nested too deeply to read does not."""
 
     def check(answer: str) -> bool:
         first, last = answer.find(opening), answer.rfind(closing)
@@ -54,7 +54,7 @@ def holds_json(opening: str, closing: str) -> Callable[[str], bool]:
             return False
         try:
             json.loads(answer[first:last + 1])
-        except ValueError:
+        except (ValueError, RecursionError):
             return False
         return True
 

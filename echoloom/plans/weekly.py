@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from echoloom import config, schemas
 from echoloom.functions import dates
 from echoloom.operators import classify, clean, insight, summaries
+from echoloom.plans import registry
 from echoloom.session import materialize
 from echoloom.sources import writers
 
@@ -64,7 +65,8 @@ def run_weekly(
 ) -> DataFrame:
     """Run all stages, writing each layer below ``base``, and log them; returns the pulses.
 
-    Stops at the first stage that fails, after logging it. Row counts come from the write itself
+    Stops at the first stage that fails, after logging it. The registry gets the run's last row, from which
+    ``registry.newest_run`` finds the newest one that went well. Row counts come from the write itself
     (``observe``). Since each stage starts from a written table, a run can be repeated from any.
     """
     paths = RunPaths(base)
@@ -82,6 +84,7 @@ def run_weekly(
         except Exception as error:
             log.append((run_id, name, started, clock(), False, None, output, str(error), start, end))
             writers.append_run_log(spark.createDataFrame(log, schemas.STAGE_LOG), paths.of("run_log"))
+            registry.record_finish(spark, paths.of("registry"), run_id, clock(), False, output)
             raise
         log.append((run_id, name, started, clock(), True, seen.get["n"], output, "", start, end))
         return table.schema
@@ -92,7 +95,7 @@ def run_weekly(
     clean_path, classified_path, chunk_path, pulse_path = (
         paths.of(f"{name}/run_id={run_id}") for name in ("clean", "classified", "chunks", "pulses")
     )
-    schema = stage("clean", clean_path, lambda: clean.clean_reviews(clean.normalize_reviews(raw, start, end)), parquet)
+    schema = stage("clean", clean_path, lambda: clean.clean_reviews(clean.normalize_reviews(raw, start, end), dedup=clean.dedup_late), parquet)
     reviews = spark.read.schema(schema).parquet(clean_path)
     schema = stage("classify", classified_path, lambda: classify.classify_reviews(reviews, predictions, key), parquet)
     classified = spark.read.schema(schema).parquet(classified_path)
@@ -104,6 +107,7 @@ def run_weekly(
 
     stage("insight", pulse_path, lambda: insight.generate_pulse(classified, period, None, keep_chunks), writers.write_pulse)
     writers.append_run_log(spark.createDataFrame(log, schemas.STAGE_LOG), paths.of("run_log"))
+    registry.record_finish(spark, paths.of("registry"), run_id, clock(), True, pulse_path)
     return spark.read.schema(schemas.PULSE).json(pulse_path)
 
 

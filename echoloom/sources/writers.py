@@ -87,6 +87,11 @@ def write_pulse_runs(pulses: DataFrame, path: str, mode: str = "overwrite") -> N
     ).parquet(path)
 
 
+def write_pulse_table(pulses: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Pulses of one run as a table."""
+    pulses.select(*schemas.PULSE.fieldNames()).write.mode(mode).parquet(path)
+
+
 def append_run_log(stages: DataFrame, path: str) -> None:
     """Append stage rows of one run."""
     stages.write.mode("append").parquet(path)

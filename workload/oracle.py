@@ -494,6 +494,8 @@ STATEMENTS = {
                         "max(clean_text) AS last_text, min(date) AS first_date FROM clean GROUP BY rating",
     "latest_run": "SELECT strftime(start_date, '%Y%m%d') || '_' || strftime(end_date, '%Y%m%d') AS run_key, start_date, "
                   "end_date, note_markdown FROM week_noted ORDER BY 1 LIMIT 1",
+    "latest_finished": "SELECT 'first-week' AS run_key, start_date, end_date, note_markdown FROM week_noted "
+                       "ORDER BY start_date LIMIT 1",
     "write_clean": f"SELECT {TEN} FROM clean",
     "write_clean_csv": f"SELECT {EIGHT} FROM clean",
     "write_report_json": "SELECT week_start_date, week_end_date, count(*) AS n FROM clean GROUP BY ALL",
@@ -543,6 +545,7 @@ STATEMENTS = {
                        "AS seconds FROM stages",
     # dedup, order, limits
     "dedup_earliest": "SELECT source_review_id, date, rating, clean_text, copies FROM ranked WHERE rn = 1",
+    "dedup_late": "SELECT source_review_id, date, rating, clean_text, copies FROM ranked WHERE rn = 1",
     "surrogate_id": "SELECT review_id, source_review_id FROM clean",
     "sort_by_date": "SELECT date, review_id, rating FROM clean ORDER BY date, review_id",
     "sample_records": f"SELECT {TEN} FROM clean ORDER BY date, review_id LIMIT 3",
@@ -595,6 +598,7 @@ STATEMENTS = {
     "build_prompt": PROMPTS,
     # the stub model fails on prompts whose length divides by five
     "score_batches": f"SELECT batch_id, n_reviews, length(prompt) % 5 <> 0 AS answered FROM ({PROMPTS})",
+    "score_kept": f"SELECT batch_id, n_reviews, length(prompt) % 5 <> 0 AS answered FROM ({PROMPTS})",
     "score_retry": f"""
         SELECT NOT (answered AND least(length(clean_text), 500) % 10 >= 4) AS fallback_applied, count(*) AS n
         FROM (SELECT clean_text, (row_number() OVER (ORDER BY date, review_id) - 1) // 10 AS batch_id FROM clean)

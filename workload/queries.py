@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from echoloom import config, schemas
 from echoloom.functions import dates, report, text
-from echoloom.operators import classify, clean, compare, insight, quality, scoring, summaries
-from echoloom.plans import runs, weekly
+from echoloom.operators import answers, classify, clean, compare, insight, quality, scoring, summaries
+from echoloom.plans import registry, runs, weekly
 from echoloom.session import materialize, scratch_path
 from echoloom.sources import readers, writers
 from echoloom.streaming import incremental, stateful
@@ -109,6 +110,21 @@ def q_latest_run(spark, sf):
     return newest.select("run_key", "start_date", "end_date", "note_markdown")
 
 
+@query
+def q_latest_finished(spark, sf):
+    """By the registry: the run of the earliest week finished last, after the others; a later one failed, one never ended."""
+    base = scratch_path(spark, "registered-runs")
+    pulses = materialize(_pulses(spark, sf), "pulses")
+    is_first = F.col("start_date") == pulses.agg(F.min("start_date").alias("day")).scalar()
+    for hour, (key, rows, succeeded) in enumerate([
+        ("later-weeks", pulses.filter(~is_first), True), ("first-week", pulses.filter(is_first), True), ("all-weeks", pulses, False), ("open", pulses, None),
+    ]):
+        writers.write_pulse_table(rows, f"{base}/{key}")
+        if succeeded is not None:
+            registry.record_finish(spark, f"{base}/registry", key, dt.datetime(2025, 12, 7, hour), succeeded, f"{base}/{key}")
+    return registry.latest_finished(spark, f"{base}/registry", schemas.PULSE).select("run_key", "start_date", "end_date", "note_markdown")
+
+
 @query
 def q_write_clean(spark, sf):
     path = scratch_path(spark, "clean-weeks")
@@ -314,6 +330,13 @@ def q_dedup_earliest(spark, sf):
     return clean.dedup_earliest(cleaned).select(KEY, "date", "rating", "clean_text", "copies")
 
 
+@query
+def q_dedup_late(spark, sf):
+    """The same rows by numbers first and texts second."""
+    cleaned = clean.with_clean_text(views.normalized(spark, sf))
+    return clean.dedup_late(cleaned).select(KEY, "date", "rating", "clean_text", "copies")
+
+
 @query
 def q_surrogate_id(spark, sf):
     return views.reviews_clean(spark, sf).select("review_id", KEY)
@@ -529,6 +552,17 @@ def q_score_batches(spark, sf):
     return scored.select("batch_id", "n_reviews", F.col("response").isNotNull().alias("answered"))
 
 
+@query
+def q_score_kept(spark, sf):
+    """Two runs over one store: the first never hears of half the prompts, the second asks for those alone."""
+    ship_packages(spark)
+    store = scratch_path(spark, "answers")
+    prompts = materialize(scoring.build_prompts(scoring.batch_reviews(_written_clean(spark, sf))), "prompts")
+    answers.answer_prompts(prompts.filter(F.col("batch_id") % 2 == 0), _stub_model, store, parts=2)
+    kept = answers.answer_prompts(prompts, _stub_model, store, parts=2)
+    return kept.select("batch_id", "n_reviews", F.col("response").isNotNull().alias("answered"))
+
+
 @query
 def q_score_retry(spark, sf):
     """Reviews left to the keywords because their batch failed for good."""
