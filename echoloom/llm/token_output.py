@@ -7,7 +7,7 @@ with their rank directories, so one record answers token access, counts and occu
 The tokenizers library encodes. As its first step parts a text at places that depend on the kinds of characters
 only, the same places are found for a whole slice of texts at once, and the library is given each distinct piece once; ids are put
 together from there. Kinds of characters are asked of the library itself. Texts that contain one of its added tokens are
-given to it whole. Distinct pieces are told apart by a 64-bit hash together with their length.
+given to it whole.
 
 Null texts are empty. Ids that are null come first; rows repeated with one id are ordered by text. An empty table gives no shards.
 """
@@ -84,6 +84,13 @@ def piece_starts(text: np.ndarray, kind: np.ndarray, rows: np.ndarray) -> np.nda
     return np.flatnonzero(cut[:n])
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it is visible, else one from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """The library's ids for slices of texts."""
 
@@ -93,7 +100,13 @@ class Encoder:
         self.library = Tokenizer.from_str(model)
         self.kinds = np.frombuffer(kinds, np.uint8)
         self.added = [t["content"] for t in json.loads(model).get("added_tokens", [])]
-        self.pieces = PieceIds(lambda texts: [made.ids for made in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+        self.letters = byte_letters()
+        self.pieces = PieceIds(self._encode_pieces)
+
+    def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces, by the library's model alone: a piece is not parted any further, its bytes are the model's letters."""
+        tokenize, letters = self.library.model.tokenize, self.letters
+        return [[token.id for token in tokenize(piece.encode("utf-8").decode("latin-1").translate(letters))] for piece in pieces]
 
     def encode(self, part: W.Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a slice, number of ids of each text)."""

@@ -21,17 +21,17 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, tokens: np.ndarray, depth: int) -> WaveletMatrix:
-        order = np.asarray(tokens, np.int64)
+        order = np.asarray(tokens).astype(np.uint16 if depth <= 16 else np.uint32)
         n = len(order)
         width = -(-n // SPAN) * SPAN // 8
         planes, ranks = np.zeros((depth, width), np.uint8), np.zeros((depth, width * 8 // SPAN + 1), np.int32)
         for level in range(depth):
-            bits = (order >> (depth - 1 - level) & 1).astype(bool)
+            bits = (order & order.dtype.type(1 << (depth - 1 - level))) != 0
             packed = np.packbits(bits)
             planes[level, : len(packed)] = packed
             if n:
                 ranks[level, 1:] = np.cumsum(np.bitwise_count(planes[level]).reshape(-1, SPAN // 8).sum(axis=1))
-            order = np.concatenate((order[~bits], order[bits]))
+            order = np.concatenate((order.take(np.flatnonzero(~bits)), order.take(np.flatnonzero(bits))))
         return cls(n, planes, ranks)
 
     def to_bytes(self) -> tuple[bytes, bytes]:
@@ -96,10 +96,11 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """The whole sequence: the planes undone from the last to the first."""
-        order = np.zeros(self.n, np.uint32)
+        order = np.zeros(self.n, np.uint16 if self.depth <= 16 else np.uint32)
         for level in reversed(range(self.depth)):
             bits = self._bits(level)
             before = np.empty_like(order)
-            before[~bits], before[bits] = order[: self.zeros[level]], order[self.zeros[level] :]
-            order = before | bits.astype(np.uint32) << np.uint32(self.depth - 1 - level)
-        return order
+            before[np.flatnonzero(~bits)] = order[: self.zeros[level]]
+            before[np.flatnonzero(bits)] = order[self.zeros[level] :] | order.dtype.type(1 << (self.depth - 1 - level))
+            order = before
+        return order.astype(np.uint32)

@@ -12,6 +12,7 @@ import pyarrow as pa
 
 from echoloom.llm import near_dedup, secrets, sentence_pieces, token_output, toxicity
 from echoloom.llm import words as W
+from echoloom.llm.distinct import PieceIds
 from echoloom.llm.wavelet import WaveletMatrix
 
 
@@ -148,3 +149,41 @@ def test_words_with_capitals_beyond_ascii_are_hits():
     assert made[:, at("insult_hits")].tolist() == [2, 2, 2, 0, 0, 0, 0]
     assert made[:, at("learned_hits")].tolist() == [0, 0, 0, 2, 2, 2, 0]
     assert not made[:, at("hidden_hits")].any()
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word over a and b and its complement; polynomials modulo a power of two take them for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_pieces_with_one_hash_are_told_apart():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one, two = thue_morse(2048)
+    texts = [one, two, f"{one} {two}", f"{two}! {one}", "plain", two]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    encoder = token_output.Encoder(open(path, encoding="utf-8").read(), token_output.character_kinds())
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+    codec = sentence_pieces.Codec(sentence_pieces.load_model(path))
+    for batch in (texts, texts[:1], texts[1:2], texts[::-1]):
+        for made, plain in ((encoder, lambda t: library.encode(t, add_special_tokens=False).ids), (codec, pieces.encode)):
+            for part in W.slices(pa.array(batch)):
+                ids, counts = made.encode(part)
+                ends = np.cumsum(counts)
+                assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [plain(t) for t in batch]
+
+
+def test_remembered_pieces_are_bounded_in_bytes():
+    pieces = PieceIds(lambda texts: [[ord(c) for c in t] for t in texts], remembered=20_000)
+    for k in range(50):
+        words = [f"{k}w{i}" for i in range(40)]
+        whole = "".join(words)
+        points = np.array([ord(c) for c in whole], np.uint32)
+        starts = np.cumsum([0, *map(len, words[:-1])])
+        ids, counts = pieces.of(whole, points, starts, np.array([0, len(whole)]))
+        assert ids.tolist() == points.tolist() and counts.tolist() == [len(whole)]
+        assert pieces.bytes <= 20_000 + 40 * 200
