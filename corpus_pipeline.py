@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the one with the smallest id (any of them where ids are equal too)."""
     chosen = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.sha2(exact_dedup.normalized(whole_text()), 256).alias("sha"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.sha2(exact_dedup.normalized(whole_text()), 256).alias("sha"))
     same = F.col("doc.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha"))
     found = rows.join(chosen.hint("merge"), same, "left_semi").select("doc", "sha", F.col("doc.doc_id").alias("id"))
     nth = F.row_number().over(Window.partitionBy("id", "sha").orderBy("id"))
