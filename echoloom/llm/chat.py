@@ -161,14 +161,20 @@ def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+#: Characters of a text that take part in the order of rows of one turn.
+TEXT_ORDER = 64
+
+
 def linear_trees(conversations: DataFrame) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as trees in which each turn answers the one before.
 
-    Turns follow ``turn``, then role and text; rows repeated with one turn are turns of their own. Rows without a conv_id are one conversation.
-    They are numbered over ranges and written once, so a conversation of very many rows is not gathered in one task.
+    Turns follow ``turn`` (any long; null first), then role, the first ``TEXT_ORDER`` characters of the text and a digest of it; rows repeated
+    with one turn are turns of their own. Rows without a conv_id are one conversation. They are numbered over ranges and written once, so a
+    conversation of very many rows is not gathered in one task, and no whole text is a range's border.
     """
     tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree")
-    rows = conversations.select(tree, "turn", F.struct("role", "text").alias("said"))
-    placed = with_position(rows, ("tree",), date="turn", identifier="said").withColumn("node", F.col("position") + 1)
+    order = F.struct("role", F.substring("text", 1, TEXT_ORDER).alias("head"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    rows = conversations.select(tree, "turn", order.alias("order"), F.struct("role", "text").alias("said"))
+    placed = with_position(rows, ("tree",), date="turn", identifier="order").withColumn("node", F.col("position") + 1)
     parent = F.when(F.col("node") > 1, F.col("node") - 1)
     return placed.select("tree", "node", parent.alias("parent"), F.lit(1.0).alias("score"), "said.role", "said.text")

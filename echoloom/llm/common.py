@@ -38,6 +38,17 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Bytes of rows that a task sends to Python at once; Spark's own limit is eight times as much, held once by the JVM and twice by Python.
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Lower the session's limit for batches from Spark's default to ``BATCH_BYTES``; a limit that a user has set stays. Memory only."""
+    if spark.conf.get(_LIMIT, None) in (None, f"{64 << 20}b"):
+        spark.conf.set(_LIMIT, f"{BATCH_BYTES}b")
+
+
 def annotated(docs: DataFrame, work, results: str, carry: list[str] | None = None, text: str = "text") -> DataFrame:
     """``docs`` as a struct column ``doc`` beside the columns that ``work`` makes of each text.
 
@@ -45,6 +56,7 @@ def annotated(docs: DataFrame, work, results: str, carry: list[str] | None = Non
     Rows stay rows: nothing is joined back by id, so null and repeated ids and clashing names are no matter.
     ``carry`` names the columns inside ``doc`` (default: all), so that a scan reads no others.
     """
+    limit_batches(docs.sparkSession)
     names = docs.columns if carry is None else carry
     doc = F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc")
     # A text that is carried along is not sent twice.

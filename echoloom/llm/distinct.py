@@ -68,8 +68,9 @@ def same_pieces(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     h = W.mixed((sums[starts + lengths] - sums[starts]) * down[starts] + lengths.astype(np.uint64))
     _, first, number = np.unique(h, return_index=True, return_inverse=True)
     stands = first[number]
-    shift = starts[stands] - starts
-    differs = points[np.minimum(np.arange(n) + np.repeat(shift, lengths), max(0, n - 1))] != points
+    place = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+    place += np.repeat((starts[stands] - starts).astype(place.dtype), lengths)
+    differs = points.take(place, mode="clip") != points
     other = lengths[stands] != lengths
     if differs.any():
         other |= np.diff(np.concatenate(([0], np.cumsum(differs)))[np.append(starts, n)]) > 0

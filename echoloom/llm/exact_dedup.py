@@ -14,7 +14,7 @@ maps a 64-bit hash of that form to the rows that hold it:
 Only DataFrame functions are used. Copies collapse to one entry per map task before any shuffle by key, and the
 joins that bring rows and entries together are plain ones whose large partitions adaptive execution can split.
 
-Nulls count as empty texts. A null id is the largest one. Rows repeated with the same id are rows of one
+Nulls count as empty texts. A null id is the largest one, larger than every long. Rows repeated with the same id are rows of one
 group and all of them stay if their id is the smallest. An empty table gives an empty result.
 """
 
@@ -29,8 +29,8 @@ from echoloom.llm.common import whole_text, written
 MAX_DEPTH = 16
 #: Shares into which the rows of one group are dealt.
 SALTS = 32
-#: Stands for a null id, so that it sorts last and equals itself.
-NO_ID = 2**63 - 1
+#: Ids are compared as wider numbers, in which this one stands for a null id: beyond every long, equal to itself.
+ID, NO_ID = "decimal(20,0)", str(2**63)
 
 
 def normalized(text: Column) -> Column:
@@ -82,7 +82,7 @@ def exact_dedup(docs: DataFrame, bucket_keys: int = 100_000, key=F.xxhash64) ->
 
     ``key`` makes the 64-bit key of the normalised text; tests pass one that collides.
     """
-    body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), normalized(whole_text()).alias("body"))
+    body = docs.select(F.coalesce(F.col("doc_id").cast("long").cast(ID), F.lit(NO_ID).cast(ID)).alias("doc_id"), normalized(whole_text()).alias("body"))
     rows = written(
         body.select("doc_id", key(F.col("body")).alias("key"), F.sha2("body", 256).alias("text_sha256")),
         "dedup-rows",
@@ -115,7 +115,7 @@ def exact_dedup(docs: DataFrame, bucket_keys: int = 100_000, key=F.xxhash64) ->
     single = rows.join(alone.hint("merge"), ["key", "doc_id"], "left_semi").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256", F.lit(0).alias("chain")
     )
-    real = lambda name: F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
+    real = lambda name: F.when(F.col(name) != F.lit(NO_ID).cast(ID), F.col(name)).cast("long").alias(name)
     return single.unionByName(repeated).select(
         real("doc_id"), real("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "chain"
     )

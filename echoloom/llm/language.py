@@ -35,7 +35,12 @@ LEAST_COUNT, LEAST_RATIO = 3, 0.2
 TRAIN_ROWS = 20_000
 PER_MASK = 63
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter; fractions, superscripts and other numerals are none."""
+    return any(found.group().isalpha() for found in _WORD_CHARACTER.finditer(text))
 
 
 def _blanked() -> np.ndarray:
@@ -165,7 +170,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
     def work(texts: pa.Array):
         found = shared.value
         langs, scores = [], []
-        readable = [bool(_LETTER.search(t.as_py() or "")) for t in texts]
+        readable = [has_letter(t.as_py() or "") for t in texts]
         for part in W.slices(texts):
             if not found.languages:
                 langs += [UNKNOWN] * part.n_rows

@@ -143,7 +143,7 @@ def is_encrypted_key(headers: str, data: bytes | None) -> bool:
 def _object(part: str) -> dict | None:
     try:
         value = json.loads(_base64(part) or b"")
-    except ValueError:
+    except (ValueError, RecursionError):  # a header nested beyond reading is none
         return None
     return value if isinstance(value, dict) else None
 

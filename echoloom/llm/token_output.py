@@ -33,6 +33,8 @@ from echoloom.session import scratch_path
 
 END = 0
 SHARD_TOKENS = 1_000_000
+#: Bytes of distinct pieces that a worker remembers: about a million pieces.
+REMEMBERED_BYTES = 192 << 20
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 _QUOTE = 39
 _TAILS = (("s",), ("t",), ("m",), ("d",), ("r", "e"), ("v", "e"), ("l", "l"))
@@ -101,7 +103,7 @@ class Encoder:
         self.kinds = np.frombuffer(kinds, np.uint8)
         self.added = [t["content"] for t in json.loads(model).get("added_tokens", [])]
         self.letters = byte_letters()
-        self.pieces = PieceIds(self._encode_pieces)
+        self.pieces = PieceIds(self._encode_pieces, REMEMBERED_BYTES)
 
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """Ids of pieces, by the library's model alone: a piece is not parted any further, its bytes are the model's letters."""

@@ -266,3 +266,48 @@ def test_stages(spark, odd, none, bench, tmp_path):
     assert left["decontamination"] == sorted((r[0] or 0) for r in ROWS)
     last = corpus_pipeline.STAGES[-1][1]
     assert last(spark, odd, str(tmp_path)).count() == len(ROWS) and last(spark, none, str(tmp_path)).count() == 0
+
+
+def test_deeply_nested_token_headers_are_no_secret():
+    import base64
+
+    from echoloom.llm import secrets
+
+    deep = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 100_000 + b"]" * 100_000 + b"}").rstrip(b"=").decode()
+    assert [k for k, _, _ in secrets.find_secrets(f"eyJ0 {deep}.{deep}.c2lnbmF0dXJl")] == [k for k, _, _ in secrets.find_secrets("eyJ0")]
+
+
+def test_numerals_are_no_letters():
+    from echoloom.llm.language import has_letter
+
+    assert not any(map(has_letter, ["", "½ ² Ⅷ", "12 _", "٣ ①", "!?"]))
+    assert all(map(has_letter, ["½a", "² é", "_ж", "日"]))
+
+
+def test_long_turns_and_equal_turns(spark):
+    from echoloom.llm import chat
+
+    rows = [(1, 3_000_000_000, "user", "late"), (1, None, "user", "first"), (1, 5, "user", "x" * 70 + "b"), (1, 5, "user", "x" * 70 + "a"), (1, 5, "assistant", "y")]
+    placed = chat.linear_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = [r.text for r in placed.orderBy("node").collect()]
+    assert found[:2] == ["first", "y"] and sorted(found[2:4]) == ["x" * 70 + "a", "x" * 70 + "b"] and found[4] == "late"
+
+
+def test_largest_id_is_no_null(spark):
+    from echoloom.llm import exact_dedup
+
+    big = 2**63 - 1
+    docs = spark.createDataFrame([(big, "a  b"), (None, "a b"), (None, "c"), (-big - 1, "d"), (big, "d")], "doc_id long, text string")
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.keep_id is None, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect())
+    assert found == sorted([
+        (False, big, False, big, 2, True), (True, 0, False, big, 2, False), (True, 0, True, 0, 1, True),
+        (False, -big - 1, False, -big - 1, 2, True), (False, big, False, -big - 1, 2, False),
+    ])
+
+
+def test_pipeline_stage_keeps_columns_with_dots(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b", 7), (2, "a  b", 8), (3, "c", 9)], "doc_id long, text string, `x.y` int")
+    kept = corpus_pipeline.drop_copies(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b", 7), (3, "c", 9)]
