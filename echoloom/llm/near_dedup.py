@@ -3,7 +3,8 @@
 A document's set is its distinct runs of five words (fewer words: the whole sequence). Two documents are linked if the Jaccard
 similarity of their sets is 0.75 or more; a component of links is one group, named by its smallest id.
 
-1. One pass over the texts makes per document the size and a 128-bit digest of its set, ``BANDS`` band keys of ``ROWS`` MinHash
+1. One pass over the texts makes per document the size and a 128-bit digest of its set (sums over two independent hashes that are no
+   polynomials of the letters), ``BANDS`` band keys of ``ROWS`` MinHash
    samples each, and an odd sketch: all samples folded into a bitmap by parity.
 2. Documents with equal sets form a class; only its row with the smallest (id, row number) goes on. Copies never meet in pairs.
 3. Documents with a band key in common are candidates. First each is paired with one centre of its bucket only, another
@@ -12,14 +13,15 @@ similarity of their sets is 0.75 or more; a component of links is one group, nam
    that cannot reach the threshold end here. So do those whose parity bitmaps of the whole sets differ in more bits than sets
    of their sizes may differ in elements, which loses nothing. The rest are confirmed on their full sets.
 4. Candidates that are still in different components are then paired as well, under the sketch test within the join, so no link
-   is lost to the choice of centres. Such a comparison takes microseconds and emits nothing. Buckets with more than ``CROWDED`` of them
-   per document, as a line that very many documents share can make them, are first split by a second band key in common.
+   is lost to the choice of centres. Such a comparison takes microseconds and emits nothing. The documents of buckets with more
+   than ``CROWDED`` of them per document, as a line that very many documents share can make them, are not compared there. They meet
+   at their rarest shingles, where every two of them at the threshold have one in common.
 
 All joins whose sides grow with the table are merge joins, at every size, so a small run shows the plan of a large one; adaptive
 execution splits what is skewed.
 
-With 48 bands of 5 samples a pair at the threshold is missed with a probability of 2.3e-6 (in large buckets 4e-5), a pair at 0.85
-with 5e-13. The sketch test lies six standard deviations beyond the threshold. Nothing is capped.
+With 48 bands of 5 samples a pair at the threshold is missed with a probability of 2.3e-6, a pair at 0.85
+with 5e-13; crowded buckets add nothing to that. The sketch test lies six standard deviations beyond the threshold. Nothing is capped.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing; a null id is the largest one. Each row
 is a document with a number of its own, so rows that share an id, or have none, are told apart. One row of each group is kept, the
@@ -32,7 +34,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoloom.llm import words as W
@@ -52,7 +54,7 @@ SALTS = 32
 #: What is compared of two documents, and the short names of these columns on either side.
 FACTS = (("n_shingles", "n"), ("sketch", "sketch"), ("parity", "parity"))
 
-SIGNATURE = "n_shingles long, digest_sum long, digest_xor long, bands array<long>, sketch array<long>"
+SIGNATURE = "n_shingles long, digest_sum long, digest_other long, bands array<long>, sketch array<long>"
 
 
 def sketch_bound(samples: int = SAMPLES, bits: int = SKETCH_BITS, similarity: float = PERCENT / 100, sigmas: float = 6.0) -> int:
@@ -70,35 +72,41 @@ def _families() -> tuple[np.ndarray, np.ndarray]:
     return (numbers[:SAMPLES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (numbers[SAMPLES:] >> np.uint64(32)).astype(np.uint32)
 
 
-def shingle_sets(part: W.Slice, shingle: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of a slice."""
+def shingle_sets(part: W.Slice, shingle: int = SHINGLE) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The sorted distinct shingle hashes of each text of a slice, and a second, independent hash of the same shingles."""
     words = W.Words(part, W.non_space_bytes(), W.ascii_lower())
-    runs = W.run_hash(words.hash, shingle)
-    out = []
+    one, two = words.strong_hash(1), words.strong_hash(2)
+    runs, others = W.run_hash(one, shingle), W.run_hash(two, shingle)
+    sets, seconds = [], []
     for first, last in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
-        if last - first >= shingle:
-            found = np.sort(runs[first : last - shingle + 1])
-            out.append(found[np.concatenate(([True], found[1:] != found[:-1]))])
-        elif last > first:
-            # The number of words is part of the hash, so that no short text equals a shingle of a longer one.
-            out.append(W.mixed(W.run_hash(words.hash[first:last], last - first) + np.uint64(last - first)))
+        n = last - first
+        if n >= shingle:
+            order = np.argsort(runs[first : last - shingle + 1])
+            found = runs[first : last - shingle + 1][order]
+            new = np.concatenate(([True], found[1:] != found[:-1]))
+            sets.append(found[new])
+            seconds.append(others[first : last - shingle + 1][order[new]])
         else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            # The number of words is part of the hash, so that no short text equals a shingle of a longer one.
+            sets.append(W.mixed(W.run_hash(one[first:last], n) + np.uint64(n)) if n else np.zeros(0, np.uint64))
+            seconds.append(W.mixed(W.run_hash(two[first:last], n) + np.uint64(n)) if n else np.zeros(0, np.uint64))
+    return sets, seconds
 
 
-def signatures(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """Sizes, both digests, band keys and sketches of some sets."""
+def signatures(sets: list[np.ndarray], seconds: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Sizes, both digests (one of each hash), band keys and sketches of some sets."""
+    seconds = sets if seconds is None else seconds
     sizes = np.array([len(s) for s in sets], np.int64)
     full = np.flatnonzero(sizes)
     n = len(sets)
-    sums, xors = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    sums, others = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     bands, sketch = np.zeros((n, BANDS), np.uint64), np.zeros((n, SKETCH_BITS // 64), np.uint64)
     if len(full):
         values = np.concatenate([sets[i] for i in full])
         starts = np.cumsum(sizes[full]) - sizes[full]
         spread = W.mixed(values)
-        sums[full], xors[full] = np.add.reduceat(spread, starts), np.bitwise_xor.reduceat(W.mixed(spread), starts)
+        sums[full] = np.add.reduceat(spread, starts)
+        others[full] = np.add.reduceat(W.mixed(np.concatenate([seconds[i] for i in full])), starts)
         short = (spread >> np.uint64(32)).astype(np.uint32)
         odd, flip = _families()
         samples = np.empty((SAMPLES, len(full)), np.uint32)
@@ -115,7 +123,7 @@ def signatures(sets: list[np.ndarray]) -> list[np.ndarray]:
         for i in range(SAMPLES):
             bits[at, (W.mixed(wide[i] + (np.uint64(i + 1) << np.uint64(32))) % np.uint64(SKETCH_BITS)).astype(np.int64)] ^= 1
         sketch[full] = np.packbits(bits, axis=1).view(np.uint64)
-    return [sizes, sums, xors, bands, sketch]
+    return [sizes, sums, others, bands, sketch]
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -124,17 +132,17 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def _signature_columns(texts: pa.Array) -> list[pa.Array]:
-    parts = [signatures(shingle_sets(part)) for part in W.slices(texts)]
+    parts = [signatures(*shingle_sets(part)) for part in W.slices(texts)]
     if not parts:
         empty = pa.array([], pa.int64())
         lists = pa.array([], pa.list_(pa.int64()))
         return [empty, empty, empty, lists, lists]
-    sizes, sums, xors, bands, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return [pa.array(sizes), pa.array(sums.view(np.int64)), pa.array(xors.view(np.int64)), _lists(bands), _lists(sketch)]
+    sizes, sums, others, bands, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return [pa.array(sizes), pa.array(sums.view(np.int64)), pa.array(others.view(np.int64)), _lists(bands), _lists(sketch)]
 
 
 def _set_column(texts: pa.Array) -> list[pa.Array]:
-    sets = [s.view(np.int64) for part in W.slices(texts) for s in shingle_sets(part)]
+    sets = [s.view(np.int64) for part in W.slices(texts) for s in shingle_sets(part)[0]]
     ends = np.cumsum([0, *map(len, sets)])
     flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
     return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), _lists(set_parities(sets))]
@@ -179,6 +187,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     return written(_merge(_merge(pairs, right, "b"), left, "a").filter(reached).select("a", "b"), label)
 
 
+def _rare_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Cells (band, node, component) in which every pair of ``nodes`` at the threshold meets: the rarest shingles of each.
+
+    With all shingles in one order, by the number of nodes that hold them, two sets at the threshold share one of the first
+    (100 - p) % of either, plus one. A shingle that very many nodes hold comes last, so it is a cell only for sets that
+    are made of such shingles almost wholly, and those are near copies of one another. Shingles of one node meet nobody but take
+    their places in the order.
+    """
+    items = _merge(sets, nodes, "node").select("node", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    own = Window.partitionBy("node")
+    shared = _merge(items, often, "item").select(
+        "*", F.row_number().over(own.orderBy("holders", "item")).alias("place"), F.count(F.lit(1)).over(own).alias("m")
+    )
+    first = F.expr(f"n - m + place <= n * {100 - PERCENT} div 100 + 1")
+    return shared.filter(first).select(F.col("item").alias("band"), "node", "component")
+
+
 def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text)."""
     numbered = written(docs.select(_row_number(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "near-rows")
@@ -206,7 +232,7 @@ def _grouped(numbered: DataFrame, crowded: int) -> DataFrame:
     """row, doc_id, n_shingles, component_id, kept of the written table ``numbered`` (row, doc_id, text)."""
     made = annotated(numbered, _signature_columns, SIGNATURE, carry=["row", "doc_id"])
     made = written(made.select("doc.row", "doc.doc_id", F.expr("* EXCEPT (doc)")), "near-signatures")
-    digest = ["n_shingles", "digest_sum", "digest_xor"]
+    digest = ["n_shingles", "digest_sum", "digest_other"]
     classes = made.filter("n_shingles > 0").groupBy(*digest).agg(_first("doc_id", "row"))
     # A class is known by the number of its first row.
     classes = written(classes.select(*digest, F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("node")), "near-classes")
@@ -240,12 +266,8 @@ def _grouped(numbered: DataFrame, crowded: int) -> DataFrame:
     )
     mixed = written(crowds.filter("pairs > 0").select("band", (F.col("pairs") > F.col("n") * crowded).alias("dense")), "near-mixed")
     apart = written(_merge(spread, mixed, "band"), "near-apart")
-    # A pair that also shares a bucket that is not crowded is found there, so a second band is looked for among crowded ones only.
-    dense = apart.filter("dense").select("band", "node", "component")
-    finer = _merge(dense, dense.select(F.col("band").alias("other"), "node"), "node").filter("band < other").select(
-        F.xxhash64("band", "other").alias("band"), "node", "component"
-    )
-    cells = written(_merge(apart.filter("NOT dense").select("band", "node", "component").unionByName(finer), facts, "node"), "near-cells")
+    rare = _rare_shingles(sets, apart.filter("dense").select("node", "component").distinct())
+    cells = written(_merge(apart.filter("NOT dense").select("band", "node", "component").unionByName(rare), facts, "node"), "near-cells")
     one = cells.select("band", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(old).alias(f"{new}_a") for old, new in FACTS])
     two = cells.select(F.col("band").alias("band_b"), F.col("node").alias("b"), F.col("component").alias("cb"), *[F.col(old).alias(f"{new}_b") for old, new in FACTS])
     apart_pair = (F.col("band") == F.col("band_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))

@@ -114,6 +114,30 @@ class Words:
         self.hash = mixed((sums[ends] - sums[starts]) * down[starts])
 
 
+    def strong_hash(self, seed: int) -> np.ndarray:
+        """Hashes that are no polynomials of the letters: each byte counts as a mix of the eight bytes from it on, up to the word's end.
+
+        ``hash`` is linear, and whoever writes a text can make two words of one hash. Different seeds give independent hashes.
+        """
+        n = len(self.folded)
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        padded = np.concatenate((self.folded, np.zeros(8, np.uint8)))
+        windows = np.ndarray((n,), "<u8", padded.data, strides=(1,)).copy()
+        begins = np.zeros(n, np.int32)
+        begins[self.start] = 1
+        left = np.append(self.end, 0)[np.cumsum(begins, dtype=np.int32) - 1] - np.arange(n)
+        windows &= _WINDOW[np.clip(left, 0, 8)]
+        up, down = power_table(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mixed(windows + mixed(np.array([seed], np.uint64))) * up[:n], out=sums[1:])
+        return mixed((sums[self.end] - sums[self.start]) * down[self.start] + np.uint64(seed))
+
+
+#: Masks of the lowest 0 to 8 bytes.
+_WINDOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def word_hash(word: str) -> int:
     """The hash that :class:`Words` gives to ``word``."""
     data = np.frombuffer(word.encode(), np.uint8).astype(np.uint64) + np.uint64(1)

@@ -311,3 +311,54 @@ def test_pipeline_stage_keeps_columns_with_dots(spark):
     docs = spark.createDataFrame([(1, "a b", 7), (2, "a  b", 8), (3, "c", 9)], "doc_id long, text string, `x.y` int")
     kept = corpus_pipeline.drop_copies(spark, docs, "")
     assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b", 7), (3, "c", 9)]
+
+
+def test_words_made_to_collide_are_no_copies(spark):
+    """A Thue-Morse word and its complement, alone and as the words of a shingle."""
+    from echoloom.llm import near_dedup
+
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    texts = [one, two, " ".join([one] * 6), " ".join([two] * 6), one + " ", f"{one} x", f"{two} x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0, 5: 5, 6: 6}
+
+
+def test_strong_hashes_tell_words_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    from echoloom.llm import words as W
+
+    texts = ["a", "a\x01", "ab", "ba", "abcdefgh", "abcdefghi", "abcdefghj", "é", "ab ab", "x" * 3000, "x" * 3001, ""]
+    (part,) = W.slices(pa.array(texts))
+    words = W.Words(part, W.non_space_bytes())
+    for seed in (1, 2):
+        h = words.strong_hash(seed)
+        assert h[8] == h[9] == h[2] and len(np.unique(h)) == len(h) - 2
+    assert not np.intersect1d(words.strong_hash(1), words.strong_hash(2)).size
+    (alone,) = W.slices(pa.array(["ab"]))
+    assert W.Words(alone, W.non_space_bytes()).strong_hash(1)[0] == words.strong_hash(1)[2]
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    """Most documents share one long line; every bucket counts as crowded, and all links are found."""
+    import random
+
+    import brute
+    from echoloom.llm import near_dedup
+
+    draw = random.Random(5)
+    line = " ".join(f"common{i}" for i in range(40))
+    fresh = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    texts = [f"{line} {fresh(draw.choice([3, 8, 20, 60]))}" for _ in range(150)]
+    texts += [f"{fresh(2)} {t}" for t in texts[:30]] + [t.replace("common7", "other") for t in texts[30:50]]
+    base = fresh(60).split()
+    texts += [" ".join(base[:k] + [f"x{k}"] + base[k:]) for k in range(0, 60, 3)] + [fresh(50) for _ in range(30)] + ["few words", "", line]
+    docs = dict(enumerate(texts))
+    expected = brute.near_groups(docs)
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for crowded in (-1, 1000):
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(table, crowded).collect()}
+        assert found == expected
