@@ -38,8 +38,8 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-#: Bytes of rows that a task sends to Python at once; Spark's own limit is eight times as much, held once by the JVM and twice by Python.
-BATCH_BYTES = 8 << 20
+#: Bytes of rows that a task sends to Python at once; Spark's own limit is sixteen times as much, held once by the JVM and twice by Python.
+BATCH_BYTES = 4 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -28,8 +28,8 @@ from echoloom.llm.common import annotated
 from echoloom.llm.distinct import PieceIds, code_points
 
 BLANK = "▁"
-#: Pairs of tokens that a worker remembers.
-REMEMBERED_PAIRS = 250_000
+#: Bytes of distinct stretches, and pairs of tokens, that a worker remembers.
+REMEMBERED_BYTES, REMEMBERED_PAIRS = 32 << 20, 250_000
 _NORMAL, _CONTROL, _BYTE = 1, 3, 6
 
 
@@ -89,7 +89,7 @@ class Codec:
         self.automaton.make_automaton()
         self._bonds(letters)
         self.pairs: dict[int, bool] = {}
-        self.pieces = PieceIds(self._encode_many)
+        self.pieces = PieceIds(self._encode_many, REMEMBERED_BYTES)
         first = self.bytes[0] if self.bytes else 0
         self.shown = [name.replace(BLANK, " ") if kind == _NORMAL else " ⁇ " if kind == 2 else "" for name, kind in zip(self.names, model["kinds"], strict=True)]
         for i in self.bytes:

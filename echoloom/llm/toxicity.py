@@ -192,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, tree
     held = _margins(model, ready.filter(apart))
     if held.isEmpty():
         held = _margins(model, ready)
-    curve = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(held)
+    # Rows of one margin are one weighted point, which the fit makes of them anyway; so no margin is a hot one.
+    points = held.groupBy("margin").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    curve = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight", predictionCol="score").fit(points)
     return Model(lexicon, model, curve, usual)
 
 
