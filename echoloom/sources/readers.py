@@ -1,8 +1,4 @@
-"""Reading landed tables. Schemas are declared, never inferred.
-
-JSON documents and CSV files with line breaks inside a value cannot be split: read such a file once,
-write it as Parquet, and go on from there.
-"""
+"""Reading landed tables. Schemas are declared, never inferred."""
 
 from __future__ import annotations
 
@@ -12,6 +8,7 @@ from pyspark.sql import types as T
 
 from echoloom import schemas
 from echoloom.session import newest_folder
+from echoloom.sources import split
 
 
 def read_reviews(spark: SparkSession, path: str, schema: T.StructType = schemas.REVIEWS_RAW) -> DataFrame:
@@ -31,13 +28,14 @@ def read_landed_json(spark: SparkSession, path: str) -> DataFrame:
 def read_records_json(
     spark: SparkSession, path: str, schema: T.StructType = schemas.REVIEWS_CLEAN, multi_line: bool = False
 ) -> DataFrame:
-    """Records from documents ``{"records": [...]}`` or from bare records, mixed as they come.
+    """Records from documents ``{"records": [...]}`` or from bare records, mixed as they come, one a line.
 
-    ``multi_line`` reads files that are one pretty-printed document or one array; without it every
-    line is a document.
+    ``multi_line`` reads files that are one document or one array in any layout, by as many tasks as they have splits.
     """
+    if multi_line:
+        return split.read_records(spark, path, schema)
     both = T.StructType([T.StructField("records", T.ArrayType(schema)), *schema.fields])
-    documents = spark.read.schema(both).option("multiLine", multi_line).json(path)
+    documents = spark.read.schema(both).json(path)
     bare = F.array(F.struct(*schema.fieldNames()))
     return documents.select(F.inline(F.coalesce("records", bare)))
 
@@ -48,11 +46,8 @@ def read_pulse_json(spark: SparkSession, path: str, multi_line: bool = False) ->
 
 
 def read_reviews_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str]) -> DataFrame:
-    """A CSV export with header, in the column order of the file; quoted values may span lines."""
-    ordered = T.StructType([schema[c] for c in columns])
-    return spark.read.schema(ordered).options(
-        header=True, multiLine=True, quote='"', escape='"', nullValue="", emptyValue="", enforceSchema=False
-    ).csv(path)
+    """A CSV export with header, in the column order of the file; quoted values may span lines, and a file many splits."""
+    return split.read_csv(spark, path, T.StructType([schema[c] for c in columns]), nullValue="", emptyValue="")
 
 
 def latest_run(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

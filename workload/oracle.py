@@ -489,6 +489,7 @@ STATEMENTS = {
     "scan_reviews": 'SELECT * FROM reviews_raw ORDER BY "at" DESC, source_review_id',
     "read_landed_json": "SELECT * REPLACE (CAST(source_review_id AS VARCHAR) AS source_review_id) FROM normalized",
     "read_records_json": f"SELECT {TEN} FROM clean",
+    "read_split_records": f"SELECT {TEN} FROM clean",
     "read_pulse_json": "SELECT * FROM week_flat",
     "read_reviews_csv": "SELECT rating, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS text_chars, "
                         "max(clean_text) AS last_text, min(date) AS first_date FROM clean GROUP BY rating",

@@ -13,7 +13,7 @@ from echoloom.functions import dates, report, text
 from echoloom.operators import answers, classify, clean, compare, insight, quality, scoring, summaries
 from echoloom.plans import registry, runs, weekly
 from echoloom.session import materialize, scratch_path
-from echoloom.sources import readers, writers
+from echoloom.sources import readers, split, writers
 from echoloom.streaming import incremental, stateful
 from workload import views
 from workload.shipping import ship_packages
@@ -80,6 +80,14 @@ def q_read_records_json(spark, sf):
     return readers.read_records_json(spark, path)
 
 
+@query
+def q_read_split_records(spark, sf):
+    """Documents of a thousand records each, read by split: record boundaries are found by depth."""
+    path = scratch_path(spark, "split-records")
+    writers.write_clean_json(views.reviews_clean(spark, sf), path)
+    return split.read_records(spark, path, schemas.REVIEWS_CLEAN)
+
+
 @query
 def q_read_pulse_json(spark, sf):
     path = scratch_path(spark, "pulse-json")
