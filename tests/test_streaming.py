@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echoloom.operators import clean
-from echoloom.streaming import incremental
+from echoloom.streaming import incremental, progress
 from workload.queries import QUERIES
 
 BODY = "one two three four five six seven eight nine ten"
@@ -108,3 +108,26 @@ def test_a_stream_without_rows_leaves_an_empty_table(spark, sf_dir, tmp_path, na
     for table in ("documents", "events"):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_late_rows_are_logged_and_add_up(spark, tmp_path):
+    folder, out, checkpoint, log = (str(tmp_path / n) for n in ("in", "out", "checkpoint", "log"))
+    schema = spark.createDataFrame([], EVENTS).schema
+
+    def run():
+        stream = incremental.stream_files(spark, folder, schema)
+        progress.run_logged_counts(stream, "theme", out, checkpoint, log)
+        return progress.late_rows(spark, log, out, "theme").first().asDict()
+
+    events(spark, folder, [(6, 3, "a", 1), (6, 4, "a", 2), (6, 5, "b", 3)])
+    assert run() == {"rows_read": 3, "rows_undated": 0, "rows_counted": 3, "rows_late": 0, "groups_late": 0}
+    events(spark, folder, [(4, 1, "a", 4), (4, 2, "a", 5), (3, 1, "b", 6), (5, 15, "a", 7)])  # three beyond 35 days, one within
+    spark.createDataFrame([(None, "a", 8)], EVENTS).coalesce(1).write.mode("append").parquet(folder)
+    second = run()
+    assert {k: second[k] for k in ("rows_read", "rows_undated", "rows_counted", "rows_late")} == {
+        "rows_read": 8, "rows_undated": 1, "rows_counted": 4, "rows_late": 3,
+    }
+    assert second["groups_late"] == 2  # two of the late rows share a week and a theme
+    assert run() == second  # nothing landed, nothing is counted twice
+    batches = progress.read_progress(spark, log).filter("rows_read > 0").orderBy("batch_id").collect()
+    assert [b.rows_read for b in batches] == [3, 5] and batches[-1].watermark.startswith("2024-05-01") and batches[0].state_rows == 2

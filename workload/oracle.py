@@ -675,6 +675,10 @@ STATEMENTS = {
                       "WHERE rn = 1 AND n_words >= 10",
     "stream_dedup": "SELECT source_review_id, date, clean_text, 2 * copies AS copies FROM ranked "
                     "WHERE rn = 1 AND n_words >= 10",
+    "stream_late_rows": "SELECT count(*) AS rows_read, count(*) - count(ts) AS rows_undated, "
+    "CAST(count(ts) - coalesce(sum(late), 0) AS BIGINT) AS rows_counted, CAST(coalesce(sum(late), 0) AS BIGINT) AS rows_late FROM ("
+    "SELECT ts, CAST(ts < newest - INTERVAL 7 DAY AND date_trunc('week', ts) + INTERVAL 7 DAY <= newest - INTERVAL 10 DAY AS INT) AS late "
+    "FROM events, (SELECT max(ts) AS newest FROM events))",
     "stream_weekly_counts": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start_date, "
                             "CAST(date_trunc('week', ts) AS DATE) + 6 AS week_end_date, event_type, count(*) AS n "
                             "FROM events GROUP BY ALL",

@@ -14,7 +14,7 @@ from echoloom.operators import answers, classify, clean, compare, insight, quali
 from echoloom.plans import registry, runs, weekly
 from echoloom.session import materialize, scratch_path
 from echoloom.sources import readers, split, writers
-from echoloom.streaming import incremental, stateful
+from echoloom.streaming import incremental, progress, stateful
 from workload import views
 from workload.shipping import ship_packages
 from workload.views import AS_OF, FIRST_DAY, KEY, WINDOW_DAYS
@@ -933,6 +933,19 @@ def q_stream_weekly_counts(spark, sf):
     return incremental.read_weekly_counts(spark, path, "event_type")
 
 
+@query
+def q_stream_late_rows(spark, sf):
+    """The last seven days land first, the rest after them: weeks that ended ten days before the newest row are too late."""
+    base = scratch_path(spark, "stream-late")
+    table = views.events(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    recent = F.coalesce(F.col("ts") >= table.agg(F.max("ts") - F.expr("interval 7 days")).scalar(), F.lit(False))
+    for rows in (table.filter(recent), table.filter(~recent)):
+        rows.write.mode("append").parquet(f"{base}/landed")
+        stream = incremental.stream_files(spark, f"{base}/landed", table.schema, files_per_trigger=1_000_000)
+        progress.run_logged_counts(stream, "event_type", f"{base}/weeks", f"{base}/checkpoint", f"{base}/log", lateness="10 days")
+    return progress.late_rows(spark, f"{base}/log", f"{base}/weeks", "event_type").drop("groups_late")
+
+
 # --- runs -------------------------------------------------------------------------------------
 
 
