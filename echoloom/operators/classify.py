@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echoloom import config
 from echoloom.config import Taxonomy
 from echoloom.functions import themes
+from echoloom.sources import buckets as bucketing
 
 PREDICTION_FIELDS = ["review_theme", "sentiment", "confidence", "reason"]
 CLASSIFIED_COLUMNS = [
@@ -53,6 +55,27 @@ def merge_predictions(
     return reviews.join(side, key, "left").withColumn("model_answered", F.col("model_answered").isNotNull())
 
 
+def write_merge_layers(reviews: DataFrame, predictions: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Both sides of ``merge_predictions`` as layers bucketed by ``key``, the predictions with one row per key.
+
+    Bucketing costs one shuffle of each side here; every later join of the layers costs none.
+    """
+    bucketing.write_layer(reviews, f"{path}/reviews", key, buckets)
+    bucketing.write_layer(one_prediction_per_key(predictions, key), f"{path}/predictions", key, buckets)
+
+
+def merge_layers(
+    spark: SparkSession, path: str, reviews: T.StructType, predictions: T.StructType, key: str, buckets: int
+) -> DataFrame:
+    """``merge_predictions`` over such layers: same rows, without a shuffle. Reviews without a key have no prediction."""
+    side = bucketing.read_keyed(spark, f"{path}/predictions", predictions, key, buckets)
+    keyed = bucketing.read_keyed(spark, f"{path}/reviews", reviews, key, buckets)
+    merged = merge_predictions(keyed, side, key, unique=True)
+    return merged.unionByName(
+        bucketing.read_keyless(spark, f"{path}/reviews", reviews).withColumn("model_answered", F.lit(False)), allowMissingColumns=True
+    )
+
+
 def needs_fallback(taxonomy: Taxonomy = config.TAXONOMY) -> Column:
     """Whether a merged prediction is missing, names no allowed theme, or is too unsure."""
     theme = F.coalesce("model_review_theme", F.lit(""))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from echoloom import config
 from echoloom.config import Taxonomy
 from echoloom.operators import classify, scoring, summaries
+from echoloom.sources import buckets
 
 UI, EXEC, KYC = "UI & Feature Gaps", "Execution & Performance", "KYC & Access"
 
@@ -171,3 +172,30 @@ def make_model():
         return json.dumps(answer[::-1] + [{"review_id": "ghost", "review_theme": kyc, "confidence": 1.0}])
 
     return model
+
+
+def test_bucketed_layers_join_without_a_shuffle(spark, tmp_path):
+    path = str(tmp_path / "layers")
+    reviews = spark.createDataFrame([(i % 40 if i % 5 else None, f"text {i}") for i in range(60)], "id int, clean_text string")
+    answers = spark.createDataFrame(
+        [(i % 30, "UI & Feature Gaps", "neutral", i / 100, "r") for i in range(60)] + [(None, "X", "neutral", 0.9, "r")],
+        "id int, review_theme string, sentiment string, confidence double, reason string",
+    )
+    for _ in range(2):  # the second writing replaces the first
+        classify.write_merge_layers(reviews, answers, path, "id", 4)
+    merged = classify.merge_layers(spark, path, reviews.schema, answers.schema, "id", 4)
+    direct = classify.merge_predictions(reviews, answers, "id")
+    assert sorted(map(repr, merged.select(direct.columns).collect())) == sorted(map(repr, direct.collect()))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        again = classify.merge_layers(spark, path, reviews.schema, answers.schema, "id", 4)
+        plan = again._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        keyed = [buckets.read_keyed(spark, f"{path}/{name}", table.schema, "id", 4) for name, table in [("predictions", answers), ("reviews", reviews)]]
+        enriched = classify.enrich_join(*keyed, "id", unique=True)
+        assert "Exchange" not in enriched._jdf.queryExecution().executedPlan().toString()
+        enriched = classify.enrich_join(*keyed, "id")  # several rows of a key: aggregated where they lie
+        assert "Exchange" not in enriched._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

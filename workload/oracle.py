@@ -583,6 +583,8 @@ STATEMENTS = {
     # joins
     "merge_predictions": "SELECT source_review_id, date, m_theme AS model_review_theme, m_sentiment AS model_sentiment, "
                          "m_confidence AS model_confidence, m_reason AS model_reason, answered AS model_answered FROM merged",
+    "merge_layers": "SELECT source_review_id, date, m_theme AS model_review_theme, m_sentiment AS model_sentiment, "
+                         "m_confidence AS model_confidence, m_reason AS model_reason, answered AS model_answered FROM merged",
     "enrich_join": "SELECT p.source_review_id, p.review_theme, p.confidence, c.date, coalesce(c.rating, 0) AS rating, "
                    "coalesce(c.title, '') AS title, coalesce(c.text, '') AS text, coalesce(c.clean_text, '') AS clean_text "
                    "FROM predictions p LEFT JOIN clean c USING (source_review_id)",

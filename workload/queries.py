@@ -474,6 +474,18 @@ def q_merge_predictions(spark, sf):
     )
 
 
+@query
+def q_merge_layers(spark, sf):
+    """The same from layers bucketed by key: the join moves no row."""
+    path = scratch_path(spark, "merge-layers")
+    reviews, predictions = views.reviews_clean(spark, sf).drop("text", "title"), views.predictions(spark, sf)
+    classify.write_merge_layers(reviews, predictions, path, KEY, buckets=8)
+    side = predictions.select(KEY, *classify.PREDICTION_FIELDS).schema
+    return classify.merge_layers(spark, path, reviews.schema, side, KEY, buckets=8).select(
+        KEY, "date", "model_review_theme", "model_sentiment", "model_confidence", "model_reason", "model_answered"
+    )
+
+
 @query
 def q_enrich_join(spark, sf):
     """Every prediction with its clean review; predictions of dropped reviews get defaults."""
