@@ -362,3 +362,24 @@ def test_crowded_buckets_lose_no_link(spark):
     for crowded in (-1, 1000):
         found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(table, crowded).collect()}
         assert found == expected
+
+
+def test_rows_of_exact_dedup_come_through_the_directory(spark, monkeypatch):
+    """With many buckets the groups are right; rows sent to a neighbour's bucket are lost."""
+    texts = [f"text {i % 300}" for i in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = docs.unionByName(spark.createDataFrame([(1000 + i, f"lone {i}") for i in range(200)], docs.schema))
+    index = exact_dedup.build_index(docs.select("doc_id", F.xxhash64("text").alias("key")), bucket_keys=20)
+    assert index.select("bucket").distinct().count() > 16
+    found = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs, bucket_keys=20).collect()}
+    assert found == {i: (i % 300, 3) for i in range(900)} | {1000 + i: (1000 + i, 1) for i in range(200)}
+    right = exact_dedup.read_directory
+
+    def wrong(index, *depth):
+        table = right(index, *depth)
+        buckets = [r.bucket for r in table.select("bucket").distinct().orderBy("bucket").collect()]
+        moved = dict(zip(buckets, [*buckets[1:], buckets[0]]))
+        return table.replace(moved, subset=["bucket"])
+
+    monkeypatch.setattr(exact_dedup, "read_directory", wrong)
+    assert exact_dedup.exact_dedup(docs, bucket_keys=20).count() == 0
