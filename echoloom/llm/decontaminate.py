@@ -11,8 +11,8 @@ are words, not bytes, and blocks are two words:
 
 Many stretches of text are searched at once, each at its own position, as lanes of one numpy loop.
 
-The benchmark is a fixed query set, not corpus data. It is read in blocks of at most ``block_words`` words, so what is
-sent to the tasks is bounded; more blocks mean more passes, without a shuffle, each written to the shared folder before the next.
+The benchmark is a fixed query set, not corpus data. It is read in blocks of at most ``block_words`` words, kept as flat arrays
+(windows name their first word), so what is sent to the tasks is bounded; more blocks mean more passes, without a shuffle, each written to the shared folder before the next.
 
 A null or empty text has no words and no hits; an item without words, or a null item, has no window; an item with a
 null id counts as the id "". Items of equal text all count. Every row stays one row.
@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 from echoloom.llm import words as W
 from echoloom.llm.common import written
 
-BLOCK_WORDS = 2_000_000
+#: Words of a block at most: 48 bytes of arrays for each, beside the text and a shift table of at most 16 MB.
+BLOCK_WORDS = 500_000
 #: End positions that one lane searches.
 LANE = 128
-_TABLE_BITS = 18
+#: Slots of the shift table: about eight for each pattern, within these bounds.
+_TABLE_BITS, _MOST_BITS = 18, 22
 
 
 def _pairs(h: np.ndarray) -> np.ndarray:
@@ -44,21 +46,43 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return W.mixed(before * np.uint64(0x9E3779B97F4A7C15) + h)
 
 
+class Source:
+    """The words of a block of items as flat arrays; patterns only name their first word here."""
+
+    def __init__(self, texts: list[str]):
+        keep, fold = W.letter_digit_bytes(), W.ascii_lower()
+        parts = [W.Words(part, keep, fold) for part in W.slices(pa.array(texts, pa.string()))]
+        letters = np.cumsum([0, *(len(p.folded) for p in parts)])
+        self.folded = _joined([p.folded for p in parts], np.uint8)
+        self.start = _joined([p.start + at for p, at in zip(parts, letters)], np.int64)
+        self.end = _joined([p.end + at for p, at in zip(parts, letters)], np.int64)
+        self.hash = _joined([p.hash for p in parts], np.uint64)
+        #: Words of each item.
+        self.count = _joined([np.diff(p.bounds) for p in parts], np.int64)
+
+
+def _joined(arrays: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(arrays).astype(kind, copy=False) if arrays else np.zeros(0, kind)
+
+
 class Patterns:
-    """Patterns of one length: shift table, buckets, and what is needed to confirm."""
+    """Patterns of one length: shift table, buckets, and the first word of each to confirm it."""
 
-    def __init__(self, length: int, hashes: np.ndarray, texts: list[bytes], items: list[int]):
+    def __init__(self, length: int, source: Source, first: np.ndarray, items: np.ndarray):
         self.length = length
         self.block = min(2, length)
-        blocks = np.stack([_pairs(row) for row in hashes]) if self.block == 2 else W.mixed(hashes)
-        slots = (blocks & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)
-        self.shift = np.full(1 << _TABLE_BITS, length - self.block + 1, np.int64)
+        self.bits = min(_MOST_BITS, max(_TABLE_BITS, int(8 * len(first)).bit_length()))
+        blocks = _pairs(source.hash) if self.block == 2 else W.mixed(source.hash)
+        slots = self._slots(blocks)
+        self.shift = np.full(1 << self.bits, length - self.block + 1, np.int32)
         for at in range(self.block - 1, length):
-            np.minimum.at(self.shift, slots[:, at], length - 1 - at)
-        key = self._bucket(blocks[:, -1], blocks[:, self.block - 1])
+            np.minimum.at(self.shift, slots[first + at], length - 1 - at)
+        key = self._bucket(blocks[first + length - 1], blocks[first + self.block - 1])
         order = np.argsort(key, kind="stable")
-        self.key, self.hashes = key[order], hashes[order]
-        self.texts, self.items = [texts[i] for i in order], np.array(items, np.int64)[order]
+        self.key, self.first, self.items = key[order], first[order], items[order]
+
+    def _slots(self, blocks: np.ndarray) -> np.ndarray:
+        return (blocks & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     @staticmethod
     def _bucket(last: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -73,7 +97,7 @@ class Patterns:
         nth = np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         at = first[row] + nth * LANE
         end = np.minimum(at + LANE, last[row])
-        slots = (blocks & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)
+        slots = self._slots(blocks)
         found = []
         while len(at):
             jump = self.shift[slots[at]]
@@ -83,7 +107,7 @@ class Patterns:
             at, end = at[live], end[live]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
-    def occurrences(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    def occurrences(self, words: W.Words, source: Source) -> tuple[np.ndarray, np.ndarray]:
         """(first word, pattern) of each confirmed occurrence."""
         blocks = _pairs(words.hash) if self.block == 2 else W.mixed(words.hash)
         ends = self.positions(words.bounds, blocks)
@@ -95,13 +119,13 @@ class Patterns:
         pattern = low + np.arange(len(low)) - np.repeat(np.cumsum(n) - n, n)
         same = np.ones(len(starts), bool)
         for i in range(self.length):
-            same &= words.hash[starts + i] == self.hashes[pattern, i]
+            same &= words.hash[starts + i] == source.hash[self.first[pattern] + i]
         starts, pattern = starts[same], pattern[same]
-        equal = [self._text(words, s) == self.texts[p] for s, p in zip(starts.tolist(), pattern.tolist(), strict=True)]
+        equal = [self._text(words, s) == self._text(source, p) for s, p in zip(starts.tolist(), self.first[pattern].tolist(), strict=True)]
         equal = np.array(equal, bool)
         return starts[equal], pattern[equal]
 
-    def _text(self, words: W.Words, first: int) -> bytes:
+    def _text(self, words: W.Words | Source, first: int) -> bytes:
         return b" ".join(words.folded[words.start[i] : words.end[i]].tobytes() for i in range(first, first + self.length))
 
 
@@ -109,24 +133,21 @@ class Block:
     """The patterns of one block of items, by length."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        keep, fold = W.letter_digit_bytes(), W.ascii_lower()
-        by_length: dict[int, tuple[list, list, list]] = {}
         self.ids = [item for item, _ in items]
-        for number, (_, text) in enumerate(items):
-            for part in W.slices(pa.array([text], pa.string())):
-                words = W.Words(part, keep, fold)
-                n = len(words.start)
-                length = min(window, n)
-                for first in range(n - length + 1 if n else 0):
-                    hashes, texts, owners = by_length.setdefault(length, ([], [], []))
-                    hashes.append(words.hash[first : first + length])
-                    texts.append(b" ".join(words.folded[words.start[i] : words.end[i]].tobytes() for i in range(first, first + length)))
-                    owners.append(number)
-        self.patterns = [Patterns(n, np.stack(h), t, o) for n, (h, t, o) in sorted(by_length.items())]
+        self.source = Source([text for _, text in items])
+        n = self.source.count
+        at = np.cumsum(n) - n
+        length = np.minimum(window, n)
+        self.patterns = []
+        for size in np.unique(length[n > 0]).tolist():
+            rows = np.flatnonzero(length == size)
+            several = n[rows] - size + 1
+            nth = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
+            self.patterns.append(Patterns(size, self.source, np.repeat(at[rows], several) + nth, np.repeat(rows, several)))
 
     def search(self, words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, end word, item) of all occurrences."""
-        found = [(s, s + p.length, p.items[k]) for p in self.patterns for s, k in [p.occurrences(words)]]
+        found = [(s, s + p.length, p.items[k]) for p in self.patterns for s, k in [p.occurrences(words, self.source)]]
         if not found:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
