@@ -124,3 +124,18 @@ def test_json_edges(spark, tmp_path):
         ids("cut", '[{"id": 1}, {"id": 2')
     with pytest.raises(Exception, match="beside records"):
         ids("second", '{"weeks": [{"w": 1}, {"w": 2}], "records": [{"id": 1}]}')
+
+
+def test_lines_of_csv_are_moved_once(spark, tmp_path):
+    """Lines of one record meet by its number, which sums over lines tell: no window moves them before that."""
+    write_csv(tmp_path / "a.csv", values(1), csv.QUOTE_ALL)
+    plan = split.csv_records(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning(") == 1
+
+
+def test_a_csv_header_of_several_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,"te\nxt",note\n1,"x\ny",z\n')
+    with pytest.raises(ValueError, match="a.csv"):
+        split.read_csv(spark, str(tmp_path), spark.createDataFrame([], CSV_SCHEMA).schema)
+    records = split.csv_records(spark, str(tmp_path))
+    assert sorted(r.record for r in records.collect()) == ['1,"x\ny",z', 'id,"te\nxt",note']
