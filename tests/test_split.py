@@ -5,7 +5,9 @@ from __future__ import annotations
 import csv
 import json
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +128,22 @@ def test_json_edges(spark, tmp_path):
         ids("second", '{"weeks": [{"w": 1}, {"w": 2}], "records": [{"id": 1}]}')
 
 
+def test_steps_of_json_pieces_are_counted_on_bytes():
+    """Same quotes and brackets as by patterns: a backslash takes the next character of its piece along."""
+    draw = random.Random(5)
+    pieces = ["", '"', "\\", '\\"', "a\\\\", '{"k": ["x\\\\", "}']
+    pieces += ["".join(draw.choices(['"', "\\", "{", "[", "]", "é", "🙂", "a", ","], k=draw.randint(0, 12))) for _ in range(2000)]
+    expected = []
+    for piece in pieces:
+        parts = re.sub(r"(?s)\\.", "", piece).split('"')
+        odd = (len(parts) - 1) % 2
+        texts = ["".join(parts[side::2]) for side in (0, 1)]
+        depth = [t.count("{") + t.count("[") - t.count("]") - (odd == side) for side, t in enumerate(texts)]
+        expected.append((odd, *depth))
+    got = split._json_steps(*split._letters(pa.array(["before", *pieces]).slice(1)))
+    assert list(zip(*(column.tolist() for column in got))) == expected
+
+
 def test_lines_of_csv_are_moved_once(spark, tmp_path):
     """Lines of one record meet by its number, which sums over lines tell: no window moves them before that."""
     write_csv(tmp_path / "a.csv", values(1), csv.QUOTE_ALL)
