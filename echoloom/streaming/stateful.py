@@ -14,19 +14,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from echoloom import config
 from echoloom.streaming.incremental import BATCH, LATENESS, append_batches, clean_stream
 
 ORDER = ("date", "source_review_id")
+#: The state store: values of ``transformWithState`` need the one on disk.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PLACED = "digest string, rank string, row string, copies long, seen timestamp"
 _CORRECTION = "digest string, generation string, copies long, row string"
-_STATE = "generation string, rank string, copies long"
+_STATE = "generation string, rank string, copies long, until long"
+#: Texts of one bucket share a call to the state store. Fixed, as a checkpoint depends on it.
+BUCKETS = 1 << 12
 
 
 def sort_text(column: Column, dtype: T.DataType) -> Column:
@@ -63,25 +67,60 @@ def _collapse(min_words: int):
     return run
 
 
-def _track(key, frames, state):
-    """The corrections of one text in one trigger: its earliest copy so far, and how many there have been."""
-    import pandas as pd
+def _processor():
+    """The corrections of the texts of one bucket in one trigger: their earliest copies so far, and how many there have been.
 
-    if state.hasTimedOut:
-        state.remove()
-        return
-    generation, rank, copies = state.get if state.exists else (None, None, 0)
-    row, latest = None, 0
-    for frame in frames:
-        copies += int(frame["copies"].sum())
-        latest = max(latest, int(frame["seen"].max().timestamp() * 1000))
-        first = frame["rank"].idxmin()
-        if rank is None or frame["rank"][first] < rank:
-            rank, row = frame["rank"][first], frame["row"][first]
-    generation = rank if generation is None else generation
-    state.update((generation, rank, copies))
-    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"digest": [key[0]], "generation": [generation], "copies": [copies], "row": [row]})
+    Nearly all the time goes into calls to the store. A bucket's texts are read together and share one timer, which goes off with the first of
+    them to end; each text that a trigger met is written by one call. The store keeps a row for each text.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Track(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.texts = handle.getMapState("texts", "digest string", _STATE)
+
+        def _known(self) -> dict:
+            return {digest: tuple(place) for (digest,), place in self.texts.iterator()}
+
+        def handleInputRows(self, key, rows, timerValues):
+            texts = self._known()
+            due = min((until for *_, until in texts.values()), default=None)
+            met: dict = {}  # digest: (winning row or null, latest copy)
+            for found in rows:
+                generation, rank, copies, until = texts.get(found.digest, (None, None, 0, None))
+                row, latest = met.get(found.digest, (None, 0))
+                if rank is None or found.rank < rank:
+                    rank, row = found.rank, found.row
+                texts[found.digest] = (generation, rank, copies + found.copies, until)
+                met[found.digest] = (row, max(latest, found.seen_ms))
+            soonest = timerValues.getCurrentWatermarkInMs() + 1
+            for digest, (row, latest) in met.items():
+                generation, rank, copies, _ = texts[digest]
+                texts[digest] = (rank if generation is None else generation, rank, copies, max(latest, soonest))
+                self.texts.updateValue((digest,), texts[digest])
+                yield Row(digest=digest, generation=texts[digest][0], copies=copies, row=row)
+            ends = min(until for *_, until in texts.values())
+            if ends != due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(ends)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            passed = max(timerValues.getCurrentWatermarkInMs() - 1, expiredTimerInfo.getExpiryTimeInMs())
+            texts = self._known()
+            for digest, place in texts.items():
+                if place[-1] <= passed:
+                    self.texts.removeKey((digest,))
+            ends = min((until for *_, until in texts.values() if until > passed), default=None)
+            if ends is not None:
+                self.handle.registerTimer(ends)
+            return iter(())
+
+        def close(self) -> None:
+            """Nothing is held open."""
+
+    return Track()
 
 
 def corrections(cleaned: DataFrame, order: Sequence[str] = ORDER, lateness: str = LATENESS, min_words: int = config.MIN_WORDS) -> DataFrame:
@@ -91,8 +130,9 @@ def corrections(cleaned: DataFrame, order: Sequence[str] = ORDER, lateness: str
         F.sha2("clean_text", 256).alias("digest"), rank.alias("rank"), F.to_json(F.struct(*cleaned.columns)).alias("row"),
         F.col("date").cast("timestamp").alias("seen"), "n_words",
     )
-    collapsed = placed.mapInArrow(_collapse(min_words), _PLACED).withWatermark("seen", lateness)
-    return collapsed.groupBy("digest").applyInPandasWithState(_track, _CORRECTION, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    collapsed = placed.mapInArrow(_collapse(min_words), _PLACED).withWatermark("seen", lateness).withColumn("seen_ms", F.unix_millis("seen"))
+    bucket = F.pmod(F.crc32("digest"), F.lit(BUCKETS))
+    return collapsed.withColumn("bucket", bucket).groupBy("bucket").transformWithState(_processor(), _CORRECTION, "update", "eventTime")
 
 
 def run_stateful_dedup(
@@ -103,17 +143,24 @@ def run_stateful_dedup(
     The state lives in ``checkpoint`` and goes on from there after a restart. Cleaning is row by row, so nothing that
     landed before is read again. A repeated micro-batch replaces its own folder.
     """
+    spark = normalized.sparkSession
     cleaned = clean_stream(normalized, min_words)
     schema = cleaned.schema
 
     def build(batch: DataFrame) -> DataFrame:
         return batch.select("digest", "generation", "copies", F.col("row").isNotNull().alias("wins"), F.from_json("row", schema).alias("row"))
 
-    return (
+    writer = (
         corrections(cleaned, order, lateness, min_words).writeStream
-        .foreachBatch(append_batches(normalized.sparkSession, path, build))
-        .outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .foreachBatch(append_batches(spark, path, build))
+        .outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
     )
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKS_DB)  # the query keeps the settings that it starts with
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(_STORE, before)
 
 
 def read_corrected(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

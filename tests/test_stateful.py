@@ -93,3 +93,19 @@ def test_a_text_in_every_second_row(spark, tmp_path):
     assert runs.run().filter("copies > 1").select("copies").collect()[0][0] == 2000
     rows = [p["sources"][0]["numInputRows"] for p in runs.progress]
     assert max(rows) == 4000 and runs.progress[0]["stateOperators"][0]["numRowsUpdated"] == 2001
+
+
+def test_texts_of_one_bucket_end_one_by_one(spark, tmp_path, monkeypatch):
+    """All texts share one bucket and its timer; each still ends by its own latest copy, and the state holds a row for each."""
+    monkeypatch.setattr(stateful, "BUCKETS", 1)
+    runs = Runs(spark, tmp_path)
+    runs.land([(1, 0, BODY), (2, 10, BODY + " a"), (3, 30, BODY + " b"), (6, 10, BODY + " c")])
+    runs.run()
+    assert runs.progress[0]["stateOperators"][0]["numRowsUpdated"] == 4
+    runs.land([(4, 50, BODY + " d"), (5, 50, BODY + " c")])  # the watermark passes day 0, then stops at day 15
+    runs.run()
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in runs.progress if p["stateOperators"]][-1] == 3
+    runs.land([(7, 51, BODY), (8, 51, BODY + " a"), (9, 51, BODY + " b"), (10, 51, BODY + " c")])
+    found = [(1, 0, 1), (2, 10, 1), (3, 30, 2), (4, 50, 1), (6, 10, 3), (7, 51, 1), (8, 51, 1)]
+    first = dt.date(2025, 11, 1)
+    assert runs.found() == [(i, str(first + dt.timedelta(days=d)), n) for i, d, n in found]
